@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import sharding, simhash, substrings, warc
 
 
 def queries() -> dict:
-    return {"op1_warc_bundles": warc.op1_warc_bundles}
+    return {
+        "op1_warc_bundles": warc.op1_warc_bundles,
+        "op2_feistel_shards": sharding.op2_feistel_shards,
+        "op3_substring_dedup": substrings.op3_substring_dedup,
+        "op8_simhash_components": simhash.op8_simhash_components,
+    }
 
 
 def oracle_sql() -> dict:
