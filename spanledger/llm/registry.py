@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import sharding, simhash, substrings, warc
+from . import sharding, simhash, substrings, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_warc_bundles": warc.op1_warc_bundles,
         "op2_feistel_shards": sharding.op2_feistel_shards,
         "op3_substring_dedup": substrings.op3_substring_dedup,
+        "op4_toxicity_lexicon": toxicity.op4_toxicity_lexicon,
         "op8_simhash_components": simhash.op8_simhash_components,
     }
 
