@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import prefix_forest, sharding, simhash, substrings, toxicity, vector_dedup, warc
+from . import pieces, prefix_forest, sharding, simhash, substrings, toxicity, vector_dedup, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_toxicity_lexicon": toxicity.op4_toxicity_lexicon,
         "op7_vector_components": vector_dedup.op7_vector_components,
         "op8_simhash_components": simhash.op8_simhash_components,
+        "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_prefix_forest": prefix_forest.op10_prefix_forest,
     }
 
