@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, pieces, prefix_forest, sharding, simhash, substrings, toxicity, vector_dedup, warc
+from . import licences, mixing, pieces, prefix_forest, sharding, simhash, substrings, toxicity, vector_dedup, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_feistel_shards": sharding.op2_feistel_shards,
         "op3_substring_dedup": substrings.op3_substring_dedup,
         "op4_toxicity_lexicon": toxicity.op4_toxicity_lexicon,
+        "op5_licence_scan": licences.op5_licence_scan,
         "op6_hierarchical_mix": mixing.op6_hierarchical_mix,
         "op7_vector_components": vector_dedup.op7_vector_components,
         "op8_simhash_components": simhash.op8_simhash_components,
