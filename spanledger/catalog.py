@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from spanledger.plans import text_queries
+
+_MODULES = [text_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for m in _MODULES for f in m.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.ORACLE.items()}
 
 
 def flagship(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """BM25 ranking of the documents for every benchmark question."""
+    return text_queries.bm25_topk(spark, sf_dir)
