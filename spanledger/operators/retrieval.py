@@ -49,8 +49,8 @@ def index(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def query_terms(questions: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Distinct content stems of each question, without question fillers; all stems where that leaves none."""
     q = questions.select(F.col(id_col).alias("qid"), F.col(text_col).alias("t"))
-    plain = T.content_terms(q, "t").distinct()
-    few = T.content_terms(q, "t", extra=T.QUESTION_FILLER).distinct()
+    plain = T.content_terms(q, "t").select("qid", "term").distinct()
+    few = T.content_terms(q, "t", extra=T.QUESTION_FILLER).select("qid", "term").distinct()
     return few.unionByName(plain.join(few.select("qid").distinct(), "qid", "left_anti"))
 
 
