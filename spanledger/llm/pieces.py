@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 MARK = "▁"
 # Fixed values of the model format.
@@ -249,25 +250,37 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "token_ids") -> DataFrame:
-    """Adds the token ids of every whole text; every text is decoded again and compared."""
+    """Adds the token ids of every whole text; every text is decoded again and compared.
 
-    @F.pandas_udf("array<int>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    Rows leave in portions of about PORTION bytes of text, so a worker never holds the ids of a whole batch.
+    """
+    columns = [c for c in docs.columns if c != out]
+    at = columns.index(text_col)
+    schema = StructType([docs.schema[c] for c in columns] + [StructField(out, ArrayType(IntegerType(), False))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         c = codec(path)
-        for s in parts:
-            got: list[np.ndarray] = []
-            held: list[str | None] = []
-            size = 0
-            for t in [*s, None]:
-                held.append(t)
-                size += len(t or "")
-                if size >= PORTION or len(held) + len(got) > len(s):
-                    got += _checked(c, held)
-                    held, size = [], 0
-            yield pd.Series(got[: len(s)])
 
-    return docs.withColumn(out, run(F.col(text_col)))
+        def portion(b: pa.RecordBatch, first: int, texts: list[str | None]) -> pa.RecordBatch:
+            ids = _checked(c, texts)
+            offsets = np.r_[0, np.cumsum([len(k) for k in ids])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+            part = b.slice(first, len(texts))
+            return pa.RecordBatch.from_arrays([*part.columns, lists], names=[*columns, out])
+
+        for b in batches:
+            first, held, size = 0, [], 0
+            for k, t in enumerate(b.column(at)):
+                held.append(t.as_py())
+                size += len(held[-1] or "")
+                if size >= PORTION:
+                    yield portion(b, first, held)
+                    first, held, size = k + 1, [], 0
+            if held:
+                yield portion(b, first, held)
+
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
 
 
 def _checked(c: Codec, texts: list[str | None]) -> list[np.ndarray]:
