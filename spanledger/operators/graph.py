@@ -1,4 +1,4 @@
-"""Connected components of an edge table by neighbour minima and pointer jumping."""
+"""Connected components of an edge table by contraction."""
 
 from __future__ import annotations
 
@@ -16,18 +16,33 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """``a``, ``b`` to ``id``, ``component`` (smallest id). A round takes the least label among a node and its neighbours, then the label of that label."""
-    e = edges.where("a is not null and b is not null and a != b").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    e = _cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _cut(e.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
+def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """``a``, ``b`` to ``id``, ``component`` (smallest id).
+
+    A round lets every node follow its smallest neighbour, shortens the chains to their ends, and rewrites the edges
+    between those ends; the nodes that are left at least halve. The rounds' maps are composed at the end.
+    """
+    e = edges.where("a is not null and b is not null and a != b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"))
+    e = _cut(e.distinct())
+    maps = []
     for _ in range(max_rounds):
-        near = e.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        step = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "m").alias("l"))
-        up = labels.select(F.col("id").alias("l"), F.col("component").alias("ll"))
-        nxt = _cut(step.join(up, "l", "left").select("id", "was", F.least("l", F.coalesce("ll", "l")).alias("component")))
-        done = nxt.where("was != component").isEmpty()
-        labels = nxt.select("id", "component")
-        if done:
+        if e.isEmpty():
             break
-    return labels
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        p = _cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("up")))
+        while True:
+            above = p.select(F.col("id").alias("up"), F.col("up").alias("top"))
+            q = _cut(p.join(above, "up").select("id", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            p = q.select("id", "up")
+            if q.where("moved").isEmpty():
+                break
+        maps.append(p)
+        for c in ("a", "b"):
+            e = e.join(p.select(F.col("id").alias(c), F.col("up").alias("to")), c).drop(c).withColumnRenamed("to", c)
+        e = _cut(e.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if not maps:
+        return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    out = maps[-1]
+    for p in reversed(maps[:-1]):
+        out = p.join(out.select(F.col("id").alias("up"), F.col("up").alias("top")), "up", "left").select("id", F.coalesce("top", "up").alias("up"))
+    return out.select("id", F.col("up").alias("component"))

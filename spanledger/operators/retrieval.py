@@ -71,7 +71,8 @@ def bm25(passages: DataFrame, id_col: str, text_col: str, questions: DataFrame,
         more = terms.join(F.broadcast(expansions(passages.sparkSession)), "term").select("qid", F.col("other").alias("term"), F.col("weight").alias("w"))
         terms = terms.unionByName(more).groupBy("qid", "term").agg(F.max("w").alias("w"))
     length, df = statistics(postings)
-    total = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    n = passages.select(id_col).agg(F.count("*").alias("n"))
+    total = length.agg(F.sum("dl").alias("words")).crossJoin(n).select("n", (F.col("words") / F.col("n")).alias("avgdl"))  # one row
     wanted = terms.join(df, "term").crossJoin(F.broadcast(total)).withColumn("idf", idf(F.col("n"), F.col("df")))
     hits = postings.join(wanted, "term").join(length, "id")
     tf = F.col("tf")

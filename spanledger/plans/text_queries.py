@@ -124,7 +124,7 @@ q_few AS (SELECT DISTINCT qid, term FROM q_all WHERE t NOT IN ({", ".join("'" +
 q_terms AS (SELECT * FROM q_few UNION ALL SELECT DISTINCT qid, term FROM q_all WHERE qid NOT IN (SELECT qid FROM q_few))"""
 _DF = "dfs AS (SELECT term, count(*) AS df, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM postings GROUP BY term)"
 _BASE = f"WITH {_TOK},\n{_QTOK},\n{_VOCAB},\n{_POST},\n{_DF}"
-_BM25 = f"""lens AS (SELECT id, sum(tf) AS dl FROM postings GROUP BY id), av AS (SELECT avg(dl) AS avgdl FROM lens),
+_BM25 = f"""lens AS (SELECT id, sum(tf) AS dl FROM postings GROUP BY id), av AS (SELECT sum(dl) / (SELECT count(*) FROM documents) AS avgdl FROM lens),
 scored AS (SELECT qid, id, round(sum(idf * tf * 2.4 / (tf + 1.4 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM postings JOIN q_terms USING (term) JOIN dfs USING (term) JOIN lens USING (id), av GROUP BY qid, id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank FROM scored)"""
 _COV = """cov AS (SELECT qid, id, round(sum(idf) / max(total), 6) AS coverage FROM postings JOIN q_terms USING (term) JOIN dfs USING (term)
@@ -159,7 +159,8 @@ SELECT item_id, doc_id FROM q, p WHERE length(q.f) >= 8 AND contains(p.f, q.f)""
     "unique_names": "SELECT doc_id, CASE WHEN n = 1 THEN source || '.txt' ELSE source || ' (' || CAST(n AS VARCHAR) || ').txt' END AS name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)",
     "injection_scan": f"""WITH a AS (SELECT 'conversation' AS kind, text FROM conversations UNION ALL SELECT 'document', text FROM documents)
 SELECT kind, count(*) AS n, CAST(sum(CASE WHEN regexp_matches(text, '{_RE2_INJECTION}') THEN 1 ELSE 0 END) AS BIGINT) AS n_injections FROM a GROUP BY kind""",
-    "negations": "SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '" + (r"\b(?:" + "|".join(T.NEGATION_WORDS) + r"|failed to|fails to)\b|n't\b").replace("'", "''") + "')) AS BIGINT) AS n_negations FROM documents",
+    "negations": f"""WITH t AS (SELECT doc_id, lower(text) AS x FROM documents)
+SELECT doc_id, CAST(len([w for w in regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_'']+') if w IN ({", ".join("'" + w.replace("'", "''") + "'" for w in T.NEGATION_WORDS)})]) + len(regexp_extract_all(x, '\\b(failed|fails) to\\b')) AS BIGINT) AS n_negations FROM t""",
     "partial_date_order": """WITH o AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN substr(day, 1, 4) WHEN o_orderkey % 3 = 1 THEN substr(day, 1, 7) ELSE day END AS partial, day FROM (SELECT o_orderkey, substr(CAST(o_orderdate AS VARCHAR), 1, 10) AS day FROM orders))
 SELECT partial, count(*) AS n, CAST(sum(CASE WHEN starts_with(day, partial) OR starts_with(partial, day) THEN 1 ELSE 0 END) AS BIGINT) AS n_compatible, partial || CASE length(partial) WHEN 4 THEN '-01-01' WHEN 7 THEN '-01' ELSE '' END AS sort_key FROM o GROUP BY partial""",
     "followup_context": f"""WITH c AS (SELECT conv_id, turn, text, {_PREV} AS prev, len(list_distinct([t for t in {T.tokens_sql('text')} if t NOT IN ({T.stop_sql(T.QUESTION_FILLER)}) AND (length(t) > 1 OR regexp_matches(t, '^[0-9]$'))])) AS n_terms FROM conversations WHERE role = 'user'),
