@@ -71,3 +71,16 @@ def test_synonyms_rank(spark):
     p = spark.createDataFrame([("1", "The headcount is 40."), ("2", "The sky is blue.")], "id string, text string")
     q = spark.createDataFrame([("q", "How many employees are there?")], "qid string, text string")
     assert [r["id"] for r in retrieval.bm25(p, "id", "text", q, "qid", "text", synonyms=True).collect()] == ["1"]
+
+
+def test_review_refutes_forged_answers(spark):
+    from spanledger.operators import review
+
+    a = spark.createDataFrame([("1", "It is Net 45."), ("2", "It is Net 30."), ("3", "It is Net 30.")], "qid string, text string")
+    c = spark.createDataFrame([(q, d, 1, 0, 20, "payable Net 30") for q, d in (("1", "x"), ("2", "x"), ("3", "y"), ("3", "z"))], "qid string, doc_id string, page int, start int, end int, quote string")
+    ok = c.select("qid", F.lit(True).alias("verbatim"))
+    s = spark.createDataFrame([(7, "y", 1, 10, 30)], "topic long, source string, page int, start int, end int")
+    told = spark.createDataFrame([("3", 7)], "qid string, topic long")
+    got = lambda t: {r["qid"]: r["verdict"] for r in review.verdicts(a, c, ok, s, t).collect()}
+    assert got(told) == {"1": "refuted", "2": "weakened", "3": "survived"}
+    assert got(told.limit(0))["3"] == "refuted"
