@@ -33,6 +33,8 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 
 INDEX_SCHEMA = "record_id string, bundle string, frame int, frame_start long, frame_bytes long, frame_size long, record_offset long, record_bytes long"
 RECORD_SCHEMA = "id long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+#: Decompressed bytes that one reading task gets.
+TASK_BYTES = 32 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -195,7 +197,10 @@ def write_archive(pages: DataFrame, scratch: Scratch, id_col="page_id", url_col=
 def read_archive(index: DataFrame, scratch: Scratch, with_payload: bool = False) -> DataFrame:
     """Read the indexed records back: one ranged read per frame, records cut at their offsets and checked."""
     root = scratch.path("bundles")
-    frames = index.groupBy("bundle", "frame").agg(F.first("frame_start").alias("frame_start"), F.first("frame_bytes").alias("frame_bytes"), F.first("frame_size").alias("frame_size"), F.collect_list(F.struct("record_offset", "record_bytes", "record_id")).alias("records"))
+    # tasks are cut by the bytes to decompress, not by the few bytes that name them
+    size = index.agg(F.sum("record_bytes").alias("n")).first()["n"] or 0
+    tasks = max(1, -(-size // TASK_BYTES))
+    frames = index.repartition(tasks, "bundle", "frame").groupBy("bundle", "frame").agg(F.first("frame_start").alias("frame_start"), F.first("frame_bytes").alias("frame_bytes"), F.first("frame_size").alias("frame_size"), F.collect_list(F.struct("record_offset", "record_bytes", "record_id")).alias("records"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(root)
