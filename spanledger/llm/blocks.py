@@ -87,8 +87,12 @@ def stretches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tu
         yield cut(pa.Table.from_batches(held), True)[0]
 
 
-def unit_pairs(starts: np.ndarray, n: int, mine: np.ndarray, lo: np.ndarray, hi: np.ndarray, tile: Callable, pairs: Callable) -> tuple[np.ndarray, np.ndarray]:
-    """Linked index pairs of a stretch. ``pairs(i, j)`` and ``tile(rows, cols)`` return masks."""
+def unit_pairs(starts: np.ndarray, n: int, mine: np.ndarray, lo: np.ndarray, hi: np.ndarray, tile: Callable, pairs: Callable, prune: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Linked index pairs of a stretch. ``pairs(i, j)`` and ``tile(rows, cols)`` return masks.
+
+    With ``prune`` a tile leaves pairs that connect what its links connect, fewer than it has rows and columns, so that
+    memory does not grow with the links of a dense stretch.
+    """
     ends = np.r_[starts[1:], n]
     sizes = ends - starts
     out_i, out_j = [], []
@@ -114,6 +118,8 @@ def unit_pairs(starts: np.ndarray, n: int, mine: np.ndarray, lo: np.ndarray, hi:
             i, j = a[k + x], b[y]
             if a is b:
                 i, j = i[i < j], j[i < j]
+            if prune and len(i):
+                i, j = forest(n, i, j, np.arange(n))
             out_i.append(i)
             out_j.append(j)
     if not out_i:

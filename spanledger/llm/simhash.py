@@ -171,7 +171,7 @@ def linked(nodes: DataFrame, scratch: Scratch, distance: int = DISTANCE, block:
             fp = t.column("fp").to_numpy().view(np.uint64)
             ids, mine, lo, hi = (t.column(c).to_numpy() for c in ("id", "mine", "lo", "hi"))
             close = lambda x: np.bitwise_count(x) <= distance
-            i, j = unit_pairs(starts, len(t), mine, lo, hi, lambda a, b: close(fp[a][:, None] ^ fp[b][None, :]), lambda a, b: close(fp[a] ^ fp[b]))
+            i, j = unit_pairs(starts, len(t), mine, lo, hi, lambda a, b: close(fp[a][:, None] ^ fp[b][None, :]), lambda a, b: close(fp[a] ^ fp[b]), prune=True)
             if len(i):
                 a, b = forest(len(t), i, j, ids)
                 yield link_batch(a, b, np.zeros(len(a), np.int64))
