@@ -32,6 +32,12 @@ from .skew import attach
 
 SHINGLE = 3
 DISTANCE = 3
+#: Near copies: word shingles, Jaccard similarity, and the share of pairs at just that similarity that must share a bucket.
+COPY_SHINGLE = 5
+COPY_SIMILARITY = 0.8
+COPY_RECALL = 0.9
+#: Rows per value of a part, before parts are made wider and lanes more.
+COPY_LOAD = 1 << 10
 SEED = 42
 CHUNK = 1 << 15
 BLOCK = 1024
@@ -188,6 +194,156 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col="doc_id", text_col
     return attach(fps, "fp", scratch.write(named, "named"), "component", fps.count(), "rows").select("id", "fp", "component")
 
 
+def _hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes of one whole text."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else iter([b" ".join(words)])
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64, max(1, len(words) - shingle + 1)))
+
+
+def signature(text: str | None, lanes: int, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """``lanes`` SimHashes of one whole text over its distinct shingles; each lane mixes the hashes anew."""
+    h = _hashes(text, shingle)
+    ones = np.zeros(64 * lanes, np.int64)
+    steps = np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(0, len(h), 255):  # 255 rows: their sums fit in a byte
+        z = h[k : k + 255, None] + steps
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        ones += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits of two texts whose shingle sets have this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def copy_layout(rows: int, similarity: float = COPY_SIMILARITY, recall: float = COPY_RECALL) -> tuple[int, int]:
+    """(lanes, parts of a lane): parts wide enough for the rows, lanes enough that one part of a pair agrees."""
+    parts = next((m for m in (4, 3, 2) if rows <= COPY_LOAD << (64 // m)), 2)
+    agree = (1 - differing_share(similarity)) ** (64 / parts)
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - agree) / parts)), parts
+
+
+def copy_reach(lanes: int, similarity: float = COPY_SIMILARITY) -> int:
+    """Differing bits up to which two signatures link: those expected at the similarity plus one standard error."""
+    p, bits = differing_share(similarity), 64 * lanes
+    return int(bits * p + (bits * p * (1 - p)) ** 0.5)
+
+
+def plan_lanes(nodes: DataFrame, lanes: int, parts: int) -> list[tuple[int, list[int], int]]:
+    """(lane, bits, threshold) of the parts to probe: bits grouped and thresholds dealt in each lane as in ``plan``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, n = np.zeros((lanes, 64, 64)), 0
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64).reshape(-1, lanes)
+            for k in range(0, len(x), 4096):
+                bits = np.unpackbits(np.ascontiguousarray(x[k : k + 4096]).view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+                for lane in range(lanes):
+                    y = bits[:, 64 * lane : 64 * lane + 64]
+                    both[lane] += y.T @ y
+            n += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(lanes * 4096 + 1), pa.int32()), pa.array(np.r_[both.ravel(), n].astype(np.int64))], names=["k", "n"])
+
+    flat = np.zeros(lanes * 4096 + 1)
+    for r in nodes.select("sig").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        flat[r["k"]] = r["n"]
+    n, both = int(flat[-1]), flat[:-1].reshape(lanes, 64, 64)
+    groups = [(lane, g) for lane in range(lanes) for g in group_bits(n, both[lane], parts)]
+    counted = nodes.mapInArrow(_copy_entries([(lane, g, 0) for lane, g in groups], lanes), "key long, part int, id long, sig binary")
+    counted = counted.groupBy("part", "key").agg(F.count("*").cast("double").alias("c"))
+    same = {r["part"]: r["s"] for r in counted.groupBy("part").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("s")).collect()}
+    out = []
+    for lane in range(lanes):
+        mine = [k for k, (x, _) in enumerate(groups) if x == lane]
+        p = np.diag(both[lane]) / max(n, 1)
+        odds = 2 * p * (1 - p) / (p * p + (1 - p) ** 2)
+        # of a part of width w: no probe, one of the value, or w probes with one bit masked
+        costs = [[0.0, 4.0 * n + same.get(k, 0.0), 4.0 * n * len(g) + same.get(k, 0.0) * (len(g) + float(odds[g].sum()))] for k in mine for g in [groups[k][1]]]
+        out += [(lane, groups[k][1], u - 1) for k, u in zip(mine, allocate(costs, parts)) if u]
+    return out
+
+
+def _copy_entries(parts: list[tuple[int, list[int], int]], lanes: int):
+    """Turns nodes (``id``, ``sig``) into one row per part and choice of masked bits."""
+    probes = [(k, lane, _mask(b for b in g if b not in out) % (1 << 64)) for k, (lane, g, t) in enumerate(parts) for out in itertools.combinations(g, t)]
+    lane_of = np.array([x[1] for x in probes])
+    masks = np.array([x[2] for x in probes], np.uint64)
+    # the probe's own odd factor and addend; equal keys of different values cost a comparison, no result
+    salt = (np.arange(1, len(probes) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 1024):
+                p = b.slice(s, 1024)
+                x = np.frombuffer(b"".join(p.column(1).to_pylist()), np.uint64).reshape(-1, lanes)
+                v = (x[:, lane_of] & masks) + salt
+                v = (v ^ (v >> np.uint64(32))) * salt
+                row = pa.array(np.repeat(np.arange(p.num_rows), len(probes)))
+                part = np.tile(np.array([x[0] for x in probes], np.int32), p.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array((v ^ (v >> np.uint64(29))).view(np.int64).ravel()), pa.array(part), p.column(0).take(row), p.column(1).take(row)], names=["key", "part", "id", "sig"])
+
+    return run
+
+
+def near_copies(docs: DataFrame, scratch: Scratch, id_col="doc_id", text_col="text", shingle=COPY_SHINGLE, similarity=COPY_SIMILARITY, recall=COPY_RECALL, block: int = BLOCK) -> DataFrame:
+    """``id`` and ``component`` (smallest id reachable over links) of every row; texts link from ``similarity`` on.
+
+    Similarity is the Jaccard similarity of word shingle sets, estimated by several SimHash lanes: the cosine of the
+    angle that the differing bits of all lanes show. Candidates agree in a part of a lane, parts and thresholds by the
+    pigeonhole plan of each lane; all of them are verified on all lanes, in blocks. Edge cases as for
+    ``near_duplicates``: texts without words have signature zero and link with each other.
+    """
+    lanes, parts = copy_layout(docs.count(), similarity, recall)
+    reach = copy_reach(lanes, similarity)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 1024):
+                p = b.slice(s, 1024)
+                sigs = [signature(t.as_py(), lanes, shingle).tobytes() for t in p.column(1)]
+                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(sigs, pa.binary())], names=["id", "sig"])
+
+    sigs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, "id long, sig binary")
+    sigs = scratch.write(sigs, "sigs")
+    nodes = scratch.write(sigs.groupBy("sig").agg(F.min("id").alias("id"), F.count("*").alias("rows")), "nodes")
+    known = nodes.where("id is not null").select("id", "sig")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in stretches(batches, ["key", "lo", "hi"]):
+            x = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(-1, lanes)
+            ids, mine, lo, hi = (t.column(c).to_numpy() for c in ("id", "mine", "lo", "hi"))
+
+            def tile(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                d = np.zeros((len(a), len(b)), np.int16)
+                for lane in range(lanes):
+                    d += np.bitwise_count(x[a, lane][:, None] ^ x[b, lane][None, :])
+                return d <= reach
+
+            def pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                d = np.zeros(len(i), np.int16)
+                for lane in range(lanes):
+                    d += np.bitwise_count(x[i, lane] ^ x[j, lane])
+                return d <= reach
+
+            i, j = unit_pairs(starts, len(t), mine, lo, hi, tile, pairs, prune=True)
+            if len(i):
+                a, b = forest(len(t), i, j, ids)
+                yield link_batch(a, b, np.zeros(len(a), np.int64))
+
+    entries = known.mapInArrow(_copy_entries(plan_lanes(known, lanes, parts), lanes), "key long, part int, id long, sig binary").drop("part")
+    links = scratch.write(work_units(entries, block).mapInArrow(verify, LINK_SCHEMA).select("a", "b"), "copy-links")
+    comp = connected_components(links, scratch, "copies")
+    named = nodes.join(comp.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").select("sig", F.coalesce("component", "id").alias("component"), "rows")
+    return attach(sigs, "sig", scratch.write(named, "copy-named"), "component", sigs.count(), "rows").select("id", "component")
+
+
 def op8_simhash_components(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "simhash"))

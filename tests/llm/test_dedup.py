@@ -82,6 +82,48 @@ def test_simhash_definition():
     assert simhash.fingerprint(t) == want and simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
 
 
+def edited(words, rng, n):
+    out = list(words)
+    for k in rng.sample(range(len(out)), n):
+        out[k] = f"new{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def jaccard(a, b, k=5):
+    sets = [{tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)} for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_find_similar_texts_and_leave_others(spark):
+    rng = random.Random(5)
+    rows, pairs, k = [], [], 0
+    for _ in range(120):  # a text and one with few edits (similar), or many (not)
+        words = [f"v{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        a, b = " ".join(words), edited(words, rng, max(1, len(words) // (200 if rng.random() < 0.5 else 15)))
+        rows += [(k, a, None, 0), (k + 1, b, None, 0)]
+        pairs.append((k, k + 1, jaccard(a, b)))
+        k += 2
+    rows += [(k, None, None, 0), (k + 1, "", None, 0), (k + 2, "one", None, 0), (k + 3, "ONE", None, 0), (None, rows[0][1], None, 0), (4, rows[4][1], None, 1)]
+    got = [(r["id"], r["component"]) for r in simhash.near_copies(spark.createDataFrame(rows, DOCS), Scratch(spark, "t-nc"), block=8).collect()]
+    assert len(got) == len(rows) and (None, got[0][1] if got[0][0] == 0 else 0) in got
+    comp = dict(got)
+    assert comp[k] == comp[k + 1] == k and comp[k + 2] == comp[k + 3] == k + 2
+    high, low = [p for p in pairs if p[2] >= 0.85], [p for p in pairs if p[2] < 0.65]
+    assert len(high) > 30 and len(low) > 30
+    assert sum(comp[b] == a for a, b, _ in high) >= 0.95 * len(high)
+    assert all(comp[b] == b and comp[a] == a for a, b, _ in low)
+    empty = spark.createDataFrame([], DOCS)
+    assert simhash.near_copies(empty, Scratch(spark, "t-nc")).count() == 0
+
+
+def test_copy_layout_grows_with_the_rows():
+    lanes, parts = simhash.copy_layout(10**5)
+    more, fewer = simhash.copy_layout(10**10)
+    assert parts > fewer and more > lanes
+    for n, m in ((lanes, parts), (more, fewer)):
+        assert 1 - (1 - (1 - simhash.differing_share(0.8)) ** (64 / m)) ** (n * m) >= 0.9
+
+
 def test_pigeonhole_allocation_loses_no_pair():
     rng = np.random.default_rng(0)
     for units in [(1, 1, 1, 1), (2, 2), (4, 0), (2, 1, 1), (0, 2, 2)]:

@@ -1,11 +1,7 @@
-import itertools
-
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from spanledger.llm import simhash  # noqa: E402
-
 PASSAGE = " ".join(f"p{k}" for k in range(60))
 
 
@@ -21,10 +17,7 @@ def test_stages_on_planted_rows(spark, tmp_path):
     a = corpus_pipeline.drop_toxic(spark, docs, d).persist()
     assert ids(a) == {r[0] for r in rows} - {k for k in range(80) if k % 10 == 3}
     b = corpus_pipeline.drop_near_duplicates(spark, a, d).persist()
-    left = sorted(ids(a))
-    fp = {r[0]: simhash.fingerprint(r[1]) for r in rows}
-    near = {y for x, y in itertools.combinations(left, 2) if bin(fp[x] ^ fp[y]).count("1") <= 3}
-    assert ids(b) == set(left) - near and 200 not in ids(b)
+    assert ids(b) == ids(a) - {200, 201, 205}  # an exact copy, a near copy, and the second text without words
     c = corpus_pipeline.cut_repeats(spark, b, d).persist()
     text = {r["doc_id"]: r["text"] for r in c.collect()}
     assert text[202] == rows[82][1] and text[203] == body(203) and text[0] == body(0) and c.columns == docs.columns
