@@ -18,9 +18,9 @@ from __future__ import annotations
 
 import os
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from .release import released
+
 MARK = "▁"
 # Fixed values of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -38,8 +40,10 @@ UNIGRAM, BPE = 1, 2
 #: One unit in so many is also encoded by the sentencepiece library.
 PARITY_EVERY = 64
 #: Units remembered between batches; memory stays bounded, results do not depend on it.
-REMEMBERED = 200_000
-PORTION = 1 << 20
+REMEMBERED = 100_000
+PORTION = 1 << 19
+#: New units go to the tokenizer so many at a time.
+UNITS = 4096
 
 
 def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -165,7 +169,7 @@ class Codec:
         self.vocabulary = v = Vocabulary.parse(raw)
         self.tokenizer = build(v)
         self.cut = v.separable and not v.squeeze and not v.charsmap
-        self.memory: dict[str, np.ndarray] = {}
+        self.memory: dict[str, bytes] = {}  # ids as little-endian int32
         self.parity_every = parity_every
         import sentencepiece
 
@@ -201,11 +205,13 @@ class Codec:
         if len(self.memory) + len(new) > REMEMBERED:
             self.memory = {}
             new = list({u: None for us in cut for u in us})
-        for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.memory[u] = e.ids
+        for k in range(0, len(new), UNITS):
+            part = new[k : k + UNITS]
+            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.memory[u] = array("i", e.ids).tobytes()
         self.verify(new)
         get = self.memory.__getitem__
-        out = [np.fromiter(chain.from_iterable(map(get, us)), np.int32) for us in cut]
+        out = [np.frombuffer(b"".join(map(get, us)), np.int32) for us in cut]
         if not self.cut:
             self.memory = {}
         return out
@@ -221,8 +227,8 @@ class Codec:
         else:
             plain = some
         for u, ids in zip(some, self.other.encode(list(plain), num_threads=1)):
-            if list(self.memory[u]) != ids:
-                raise ValueError(f"the two libraries differ on {u!r}: {list(self.memory[u])} and {ids}")
+            if (mine := np.frombuffer(self.memory[u], np.int32).tolist()) != ids:
+                raise ValueError(f"the two libraries differ on {u!r}: {mine} and {ids}")
 
     def decode(self, ids: np.ndarray) -> str:
         """Pieces joined, bytes put together, the dummy prefix taken off."""
@@ -280,7 +286,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "token
             if held:
                 yield portion(b, first, held)
 
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(released(run), schema)
 
 
 def _checked(c: Codec, texts: list[str | None]) -> list[np.ndarray]:
@@ -337,7 +343,7 @@ def digest(docs: DataFrame, path: str, id_col="doc_id", text_col="text") -> Data
             flush()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(back, pa.int64())], names=["id", "n_tokens", "ids_crc32", "decoded_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_tokens long, ids_crc32 long, decoded_crc32 long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run), "id long, n_tokens long, ids_crc32 long, decoded_crc32 long")
 
 
 def op9_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .blocks import LINK_SCHEMA, forest, link_batch, stretches, unit_pairs, work_units
 from .components import connected_components
+from .release import released
 from .scratch import Scratch
 from .skew import attach
 
@@ -71,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run), "id long, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -182,7 +183,7 @@ def linked(nodes: DataFrame, scratch: Scratch, distance: int = DISTANCE, block:
                 a, b = forest(len(t), i, j, ids)
                 yield link_batch(a, b, np.zeros(len(a), np.int64))
 
-    return scratch.write(work_units(entries, block).mapInArrow(run, LINK_SCHEMA).select("a", "b"), "links")
+    return scratch.write(work_units(entries, block).mapInArrow(released(run), LINK_SCHEMA).select("a", "b"), "links")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col="doc_id", text_col="text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -310,7 +311,7 @@ def near_copies(docs: DataFrame, scratch: Scratch, id_col="doc_id", text_col="te
                 sigs = [signature(t.as_py(), lanes, shingle).tobytes() for t in p.column(1)]
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(sigs, pa.binary())], names=["id", "sig"])
 
-    sigs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, "id long, sig binary")
+    sigs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(released(sign), "id long, sig binary")
     sigs = scratch.write(sigs, "sigs")
     nodes = scratch.write(sigs.groupBy("sig").agg(F.min("id").alias("id"), F.count("*").alias("rows")), "nodes")
     known = nodes.where("id is not null").select("id", "sig")
@@ -338,7 +339,7 @@ def near_copies(docs: DataFrame, scratch: Scratch, id_col="doc_id", text_col="te
                 yield link_batch(a, b, np.zeros(len(a), np.int64))
 
     entries = known.mapInArrow(_copy_entries(plan_lanes(known, lanes, parts), lanes), "key long, part int, id long, sig binary").drop("part")
-    links = scratch.write(work_units(entries, block).mapInArrow(verify, LINK_SCHEMA).select("a", "b"), "copy-links")
+    links = scratch.write(work_units(entries, block).mapInArrow(released(verify), LINK_SCHEMA).select("a", "b"), "copy-links")
     comp = connected_components(links, scratch, "copies")
     named = nodes.join(comp.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").select("sig", F.coalesce("component", "id").alias("component"), "rows")
     return attach(sigs, "sig", scratch.write(named, "copy-named"), "component", sigs.count(), "rows").select("id", "component")

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .release import released
 from .scratch import Scratch
 from .skew import attach
 
@@ -137,7 +138,7 @@ def super_kmers(docs: DataFrame, window: int, minimizer: int) -> DataFrame:
                 row = pa.array(r["text"] + first)
                 yield pa.RecordBatch.from_arrays([pa.array(r["mh"]), pa.array(r["ch"]), ids.take(row), th.take(row), pa.array(r["start"].astype(np.int32)), pa.array(r["n"].astype(np.int32))], names=["mh", "ch", "id", "th", "start", "n"])
 
-    return docs.where("id is not null").mapInArrow(run, "mh long, ch long, id long, th int, start int, n int")
+    return docs.where("id is not null").mapInArrow(released(run), "mh long, ch long, id long, th int, start int, n int")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -160,7 +161,7 @@ def source_windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame
                 m = len(at)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mh, n)), pa.array(w[at].view(np.int64)), pa.array([b.column(0)[k].as_py()] * m, pa.int64()), pa.array([b.column(1)[k].as_py()] * m, pa.int32()), pa.array(at.astype(np.int32))], names=["mh", "w", "id", "th", "at"])
 
-    return both.mapInArrow(run, "mh long, w long, id long, th int, at int")
+    return both.mapInArrow(released(run), "mh long, w long, id long, th int, at int")
 
 
 def repeated_edges(docs: DataFrame, scratch: Scratch, window: int = WINDOW, minimizer: int = MINIMIZER) -> DataFrame:
@@ -241,4 +242,4 @@ def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
                 digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return with_spans(docs, spans, "doc_id", "text").select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_spans(docs, spans, "doc_id", "text").select("doc_id", "text", "__spans").mapInArrow(released(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
