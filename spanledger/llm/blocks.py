@@ -57,8 +57,8 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> tuple[np.nd
     return pairs[start + (rank - 1) // 2, 1][child], pairs[:, 1][child]
 
 
-def stretches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Whole units from sorted batches, with the start of each unit."""
+def stretches(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = STRETCH) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole units from sorted batches, with the start of each unit; cut from ``least`` rows on."""
     held: list[pa.RecordBatch] = []
     rows = 0
 
@@ -77,7 +77,7 @@ def stretches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tu
             continue
         held.append(b)
         rows += b.num_rows
-        if rows >= STRETCH:
+        if rows >= least:
             done, rest = cut(pa.Table.from_batches(held), False)
             if done:
                 yield done

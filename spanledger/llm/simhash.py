@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import LINK_SCHEMA, forest, link_batch, stretches, unit_pairs, work_units
+from .blocks import LINK_SCHEMA, forest, link_batch, spread, stretches, unit_pairs, work_units
 from .components import connected_components
 from .release import released
 from .scratch import Scratch
@@ -36,7 +36,7 @@ DISTANCE = 3
 #: Near copies: word shingles, Jaccard similarity, and the share of pairs at just that similarity that must share a bucket.
 COPY_SHINGLE = 5
 COPY_SIMILARITY = 0.8
-COPY_RECALL = 0.9
+COPY_RECALL = 0.9999
 #: Rows per value of a part, before parts are made wider and lanes more.
 COPY_LOAD = 1 << 10
 SEED = 42
@@ -205,18 +205,13 @@ def _hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64, max(1, len(words) - shingle + 1)))
 
 
-def signature(text: str | None, lanes: int, shingle: int = COPY_SHINGLE) -> np.ndarray:
-    """``lanes`` SimHashes of one whole text over its distinct shingles; each lane mixes the hashes anew."""
-    h = _hashes(text, shingle)
-    ones = np.zeros(64 * lanes, np.int64)
-    steps = np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(0, len(h), 255):  # 255 rows: their sums fit in a byte
-        z = h[k : k + 255, None] + steps
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-        ones += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
-    return np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)
+def minima(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """``lanes`` MinHashes of a set of shingle hashes: two sets agree in a lane with their Jaccard similarity as odds."""
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, lanes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    low = np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 2048):
+        np.minimum(low, (hashes[k : k + 2048, None] * odd).min(axis=0), out=low)
+    return low
 
 
 def differing_share(similarity: float) -> float:
@@ -225,124 +220,158 @@ def differing_share(similarity: float) -> float:
 
 
 def copy_layout(rows: int, similarity: float = COPY_SIMILARITY, recall: float = COPY_RECALL) -> tuple[int, int]:
-    """(lanes, parts of a lane): parts wide enough for the rows, lanes enough that one part of a pair agrees."""
+    """(lanes, parts of a lane) that SimHash would need: parts wide enough for the rows, lanes enough that one part of a pair agrees."""
     parts = next((m for m in (4, 3, 2) if rows <= COPY_LOAD << (64 // m)), 2)
     agree = (1 - differing_share(similarity)) ** (64 / parts)
     return int(np.ceil(np.log(1 - recall) / np.log(1 - agree) / parts)), parts
 
 
-def copy_reach(lanes: int, similarity: float = COPY_SIMILARITY) -> int:
-    """Differing bits up to which two signatures link: those expected at the similarity plus one standard error."""
-    p, bits = differing_share(similarity), 64 * lanes
-    return int(bits * p + (bits * p * (1 - p)) ** 0.5)
+def copy_bands(rows: int, similarity: float = COPY_SIMILARITY, recall: float = COPY_RECALL) -> tuple[int, int]:
+    """(bands, lanes of a band): wider bands for more rows, and as many as the recall of a pair at the similarity takes."""
+    width = next((w for w in (4, 5, 6) if rows <= 1 << (4 * w + 4)), 7)
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**width))), width
 
 
-def plan_lanes(nodes: DataFrame, lanes: int, parts: int) -> list[tuple[int, list[int], int]]:
-    """(lane, bits, threshold) of the parts to probe: bits grouped and thresholds dealt in each lane as in ``plan``."""
+def copy_least(lanes: int, similarity: float = COPY_SIMILARITY) -> int:
+    """Agreeing lanes from which a pair is compared exactly: five standard errors below those expected at the similarity."""
+    return int(lanes * similarity - 5 * (lanes * similarity * (1 - similarity)) ** 0.5)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, n = np.zeros((lanes, 64, 64)), 0
-        for b in batches:
-            x = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64).reshape(-1, lanes)
-            for k in range(0, len(x), 4096):
-                bits = np.unpackbits(np.ascontiguousarray(x[k : k + 4096]).view(np.uint8), axis=1, bitorder="little").astype(np.float32)
-                for lane in range(lanes):
-                    y = bits[:, 64 * lane : 64 * lane + 64]
-                    both[lane] += y.T @ y
-            n += len(x)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(lanes * 4096 + 1), pa.int32()), pa.array(np.r_[both.ravel(), n].astype(np.int64))], names=["k", "n"])
 
-    flat = np.zeros(lanes * 4096 + 1)
-    for r in nodes.select("sig").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        flat[r["k"]] = r["n"]
-    n, both = int(flat[-1]), flat[:-1].reshape(lanes, 64, 64)
-    groups = [(lane, g) for lane in range(lanes) for g in group_bits(n, both[lane], parts)]
-    counted = nodes.mapInArrow(_copy_entries([(lane, g, 0) for lane, g in groups], lanes), "key long, part int, id long, sig binary")
-    counted = counted.groupBy("part", "key").agg(F.count("*").cast("double").alias("c"))
-    same = {r["part"]: r["s"] for r in counted.groupBy("part").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("s")).collect()}
-    out = []
-    for lane in range(lanes):
-        mine = [k for k, (x, _) in enumerate(groups) if x == lane]
-        p = np.diag(both[lane]) / max(n, 1)
-        odds = 2 * p * (1 - p) / (p * p + (1 - p) ** 2)
-        # of a part of width w: no probe, one of the value, or w probes with one bit masked
-        costs = [[0.0, 4.0 * n + same.get(k, 0.0), 4.0 * n * len(g) + same.get(k, 0.0) * (len(g) + float(odds[g].sum()))] for k in mine for g in [groups[k][1]]]
-        out += [(lane, groups[k][1], u - 1) for k, u in zip(mine, allocate(costs, parts)) if u]
-    return out
+def set_digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
-def _copy_entries(parts: list[tuple[int, list[int], int]], lanes: int):
-    """Turns nodes (``id``, ``sig``) into one row per part and choice of masked bits."""
-    probes = [(k, lane, _mask(b for b in g if b not in out) % (1 << 64)) for k, (lane, g, t) in enumerate(parts) for out in itertools.combinations(g, t)]
-    lane_of = np.array([x[1] for x in probes])
-    masks = np.array([x[2] for x in probes], np.uint64)
-    # the probe's own odd factor and addend; equal keys of different values cost a comparison, no result
-    salt = (np.arange(1, len(probes) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+def _copy_entries(bands: int, width: int):
+    """Turns nodes (``id``, ``mins``: a band's key each, then a byte a lane) into one row per band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 1024):
                 p = b.slice(s, 1024)
-                x = np.frombuffer(b"".join(p.column(1).to_pylist()), np.uint64).reshape(-1, lanes)
-                v = (x[:, lane_of] & masks) + salt
-                v = (v ^ (v >> np.uint64(32))) * salt
-                row = pa.array(np.repeat(np.arange(p.num_rows), len(probes)))
-                part = np.tile(np.array([x[0] for x in probes], np.int32), p.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array((v ^ (v >> np.uint64(29))).view(np.int64).ravel()), pa.array(part), p.column(0).take(row), p.column(1).take(row)], names=["key", "part", "id", "sig"])
+                x = np.frombuffer(b"".join(p.column(1).to_pylist()), np.uint8).reshape(p.num_rows, -1)
+                keys = np.ascontiguousarray(x[:, : 8 * bands]).view(np.int64)
+                sig = pa.array([r.tobytes() for r in x[:, 8 * bands :]], pa.binary())
+                row = pa.array(np.repeat(np.arange(p.num_rows), bands))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), p.column(0).take(row), sig.take(row)], names=["key", "id", "sig"])
 
     return run
 
 
+def exact_links(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> tuple[list[int], list[int]]:
+    """Index pairs of Jaccard similarity ``similarity`` or more that connect what all such pairs connect.
+
+    With ``side`` (two blocks) only pairs of different sides count. A pair that links already connect is not compared.
+    """
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    vocabulary, where = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    mine = [where[e - k : e] for e, k in zip(ends, sizes)]
+    lab, mark = np.arange(n), np.zeros(len(vocabulary), bool)
+    out_i, out_j = [], []
+    for i in range(n - 1):
+        small, large = similarity * sizes[i] - 1e-9, sizes[i] / similarity + 1e-9
+        ok = (lab[i + 1 :] != lab[i]) & (sizes[i + 1 :] >= small) & (sizes[i + 1 :] <= large) & (sizes[i + 1 :] > 0)
+        if side is not None:
+            ok &= side[i + 1 :] != side[i]
+        js = np.flatnonzero(ok) + i + 1
+        if not len(js):
+            continue
+        mark[mine[i]] = True
+        both = np.add.reduceat(mark[np.concatenate([mine[j] for j in js])].astype(np.int64), np.r_[0, np.cumsum(sizes[js])[:-1]])
+        mark[mine[i]] = False
+        for j in js[both >= similarity * (sizes[i] + sizes[js] - both) - 1e-9]:
+            out_i.append(i)
+            out_j.append(int(j))
+            lab[lab == lab[j]] = lab[i]
+    return out_i, out_j
+
+
 def near_copies(docs: DataFrame, scratch: Scratch, id_col="doc_id", text_col="text", shingle=COPY_SHINGLE, similarity=COPY_SIMILARITY, recall=COPY_RECALL, block: int = BLOCK) -> DataFrame:
     """``id`` and ``component`` (smallest id reachable over links) of every row; texts link from ``similarity`` on.
 
-    Similarity is the Jaccard similarity of word shingle sets, estimated by several SimHash lanes: the cosine of the
-    angle that the differing bits of all lanes show. Candidates agree in a part of a lane, parts and thresholds by the
-    pigeonhole plan of each lane; all of them are verified on all lanes, in blocks. Edge cases as for
-    ``near_duplicates``: texts without words have signature zero and link with each other.
+    Similarity is the Jaccard similarity of the sets of word shingle hashes. Texts of equal sets are one node. Candidates
+    agree in a band of MinHashes, which holds for texts of few shingles too, and in enough of all lanes; only texts that
+    candidates connect go on. Their whole sets are compared with each other, in blocks, and the sets alone decide.
+    Edge cases as for ``near_duplicates``: texts without words are one node.
     """
-    lanes, parts = copy_layout(docs.count(), similarity, recall)
-    reach = copy_reach(lanes, similarity)
+    bands, width = copy_bands(docs.count(), similarity, recall)
+    lanes = bands * width
+    least = copy_least(lanes, similarity)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = np.arange(1, bands + 1, dtype=np.uint64)
         for b in batches:
             for s in range(0, b.num_rows, 1024):
                 p = b.slice(s, 1024)
-                sigs = [signature(t.as_py(), lanes, shingle).tobytes() for t in p.column(1)]
-                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(sigs, pa.binary())], names=["id", "sig"])
-
-    sigs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(released(sign), "id long, sig binary")
-    sigs = scratch.write(sigs, "sigs")
-    nodes = scratch.write(sigs.groupBy("sig").agg(F.min("id").alias("id"), F.count("*").alias("rows")), "nodes")
-    known = nodes.where("id is not null").select("id", "sig")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                digests, mins = [], []
+                for t in p.column(1):
+                    h = _hashes(t.as_py(), shingle)
+                    low = minima(h, lanes)
+                    key = salt.copy()
+                    for k in range(width):
+                        key = (key ^ low[k::width]) * np.uint64(0x9E3779B97F4A7C15)
+                        key ^= key >> np.uint64(32)
+                    digests.append(set_digest(h))
+                    mins.append(key.tobytes() + (low >> np.uint64(20)).astype(np.uint8).tobytes())
+                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(digests, pa.binary()), pa.array(mins, pa.binary())], names=["id", "digest", "mins"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sigs = scratch.write(texts.mapInArrow(released(sign), "id long, digest binary, mins binary"), "sigs")
+    nodes = scratch.write(sigs.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.first("mins").alias("mins")), "nodes")
+    known = nodes.where("id is not null").select("id", "mins")
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in stretches(batches, ["key", "lo", "hi"]):
-            x = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(-1, lanes)
+            x = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, lanes)
             ids, mine, lo, hi = (t.column(c).to_numpy() for c in ("id", "mine", "lo", "hi"))
 
             def tile(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                d = np.zeros((len(a), len(b)), np.int16)
-                for lane in range(lanes):
-                    d += np.bitwise_count(x[a, lane][:, None] ^ x[b, lane][None, :])
-                return d <= reach
-
-            def pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                d = np.zeros(len(i), np.int16)
+                same = np.zeros((len(a), len(b)), np.int16)
                 for lane in range(lanes):
-                    d += np.bitwise_count(x[i, lane] ^ x[j, lane])
-                return d <= reach
+                    same += x[a, lane][:, None] == x[b, lane][None, :]
+                return same >= least
 
-            i, j = unit_pairs(starts, len(t), mine, lo, hi, tile, pairs, prune=True)
+            i, j = unit_pairs(starts, len(t), mine, lo, hi, tile, lambda i, j: (x[i] == x[j]).sum(axis=1) >= least, prune=True)
             if len(i):
                 a, b = forest(len(t), i, j, ids)
                 yield link_batch(a, b, np.zeros(len(a), np.int64))
 
-    entries = known.mapInArrow(_copy_entries(plan_lanes(known, lanes, parts), lanes), "key long, part int, id long, sig binary").drop("part")
-    links = scratch.write(work_units(entries, block).mapInArrow(released(verify), LINK_SCHEMA).select("a", "b"), "copy-links")
+    entries = known.mapInArrow(_copy_entries(bands, width), "key long, id long, sig binary")
+    loose = scratch.write(work_units(entries, block).mapInArrow(released(candidates), LINK_SCHEMA).select("a", "b"), "copy-candidates")
+    members = connected_components(loose, scratch, "candidates").select(F.col("id").alias("__id"), F.col("component").alias("key"))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                p = b.slice(s, 256)
+                sets = [_hashes(t.as_py(), shingle) for t in p.column(2)]
+                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array([len(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["key", "id", "n", "hashes"])
+
+    sets = scratch.write(texts.join(members, F.col("id") == F.col("__id")).select("key", "id", "text").mapInArrow(released(shingled), "key long, id long, n long, hashes binary"), "copy-sets")
+    # a block is bounded by its rows and by its shingles
+    sizes = sets.groupBy("key").agg(F.count("*").alias("__size"), F.greatest(F.count("*"), F.ceil(F.sum("n") / 4096)).alias("size"))
+    sized = attach(sets, "key", sizes, "size", sets.count(), "__size")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in stretches(batches, ["key", "lo", "hi"], 1):
+            ids, mine, lo, hi = (t.column(c).to_numpy() for c in ("id", "mine", "lo", "hi"))
+            found_a, found_b = [], []
+            for s, e in zip(starts, [*starts[1:], len(t)]):
+                if e - s > 1:
+                    held = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("hashes").slice(s, e - s)]
+                    i, j = exact_links(held, None if lo[s] == hi[s] else mine[s:e], similarity)
+                    found_a.append(ids[s:e][i])
+                    found_b.append(ids[s:e][j])
+            if found_a:
+                a, b = np.concatenate(found_a), np.concatenate(found_b)
+                yield link_batch(a, b, np.zeros(len(a), np.int64))
+
+    links = spread(sized, block).select("key", "lo", "hi", "mine", "id", "hashes").mapInArrow(released(verify), LINK_SCHEMA)
+    links = scratch.write(links.where("a != b").select("a", "b"), "copy-links")
     comp = connected_components(links, scratch, "copies")
-    named = nodes.join(comp.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").select("sig", F.coalesce("component", "id").alias("component"), "rows")
-    return attach(sigs, "sig", scratch.write(named, "copy-named"), "component", sigs.count(), "rows").select("id", "component")
+    named = nodes.join(comp.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").select("digest", F.coalesce("component", "id").alias("component"), "rows")
+    return attach(sigs.select("id", "digest"), "digest", scratch.write(named, "copy-named"), "component", sigs.count(), "rows").select("id", "component")
 
 
 def op8_simhash_components(spark, sf_dir: str) -> DataFrame:

@@ -116,6 +116,26 @@ def test_near_copies_find_similar_texts_and_leave_others(spark):
     assert simhash.near_copies(empty, Scratch(spark, "t-nc")).count() == 0
 
 
+def test_near_copies_are_decided_exactly(spark):
+    rng = random.Random(11)
+    rows, pairs, k = [], [], 0
+    while len(pairs) < 300:  # short texts cut at the end, and long ones with edits, around 0.8
+        n = rng.choice([9, 9, 10, 14, 19, 30, 250, 600])
+        words = [f"u{rng.randrange(10**6)}" for _ in range(n)]
+        b = " ".join(words[: n - rng.randrange(1, max(2, n // 4))]) if n < 40 else edited(words, rng, rng.randrange(n // 80, n // 30))
+        a = " ".join(words)
+        if 0.7 <= (j := jaccard(a, b)) <= 0.9:
+            rows += [(k, a, None, 0), (k + 1, b, None, 0)]
+            pairs.append((k, j, n))
+            k += 2
+    group = [f"g{x}" for x in range(400)]  # a chain of near copies in several blocks
+    rows += [(k + x, " ".join(group[3 * x : 3 * x + 200]), None, 0) for x in range(40)]
+    comp = {r["id"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(rows, DOCS), Scratch(spark, "t-nx"), block=8).collect()}
+    assert sum(j == 0.8 and n == 9 for _, j, n in pairs) > 20 and sum(0.75 <= j < 0.8 for _, j, _ in pairs) > 20
+    assert [(i, j, n) for i, j, n in pairs if (comp[i + 1] == i) != (j >= 0.8)] == []
+    assert all(comp[k + x] == k for x in range(40))
+
+
 def test_copy_layout_grows_with_the_rows():
     lanes, parts = simhash.copy_layout(10**5)
     more, fewer = simhash.copy_layout(10**10)
