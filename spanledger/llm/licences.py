@@ -1,23 +1,24 @@
 """Licence scans: a trained paragraph classifier with DataFrame and SQL functions only.
 
-Paragraphs are lines. Those that hold one of ANCHORS (every licence wording does, see the tests) are turned into word
+Paragraphs are lines and blocks of lines between blank ones (a wrapped
+licence text). Those that hold one of ANCHORS or a word trigram of a template (nothing without one covers any) are turned into word
 n-grams of one to three words; a multinomial logistic regression over them, fitted on TEMPLATES and variants of them
 against OTHER sentences, gives the licence family or ``unknown``. Probabilities are calibrated by a temperature that
 minimises the log loss on variants left out of the fit. A prediction stands only if the paragraph also covers enough
-word trigrams of one of the family's templates; else it is ``unknown``. Paragraphs without an anchor are ``unknown``
-by rule and not listed.
+word trigrams of one of the family's templates; else it is ``unknown``. What has no anchor is listed only if confirmed.
 
 The model is a table of n-grams (bounded by the templates) that is broadcast; scoring explodes the n-grams of the few
 anchored paragraphs and sums weights per paragraph inside the task, before a small shuffle.
 
 Edge cases: null and empty texts have no paragraphs; rows with a null id are listed with it, merged by paragraph
-number; rows that repeat an id are merged when their paragraph has the same number and words, and listed apart when
-not; an empty table gives no rows; other columns are ignored.
+number; rows that repeat an id are merged when their paragraph has the same number and words (a block's first line:
+when the block has), and listed apart when not; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,7 +133,8 @@ def words(text: Column) -> Column:
 
 
 def _joined(ws: Column, n: int):
-    return lambda k: F.concat_ws(" ", F.slice(ws, k, F.lit(n)))
+    # by position: slice() copies the whole array for every n-gram
+    return lambda k: F.concat_ws(" ", *[F.get(ws, k + (d - 1)) for d in range(n)])
 
 
 def ngrams(ws: Column, sizes=range(1, MAX_N + 1)) -> Column:
@@ -211,18 +213,48 @@ def logits(rows: DataFrame, model: dict, keys: list[str]) -> DataFrame:
     return sums.select(*keys, F.array(*[F.col(f"__z{k}") + F.lit(model["intercept"][k]) for k in range(n)]).alias("z"))
 
 
+def near_template(text: Column) -> Column:
+    """Whether the text shares a word trigram with a template: every text that covers a part of one does."""
+    grams = set()
+    for t in (t for ts in TEMPLATES.values() for t in ts):
+        ws = [w for w in re.split(r"[\W_]+", t.lower()) if w]
+        grams |= {" ".join(ws[k : k + MAX_N]) for k in range(len(ws) - MAX_N + 1)}
+    known = F.array(*[F.lit(g) for g in sorted(grams)])
+    # the words are bound once, as a lambda's variable
+    return F.exists(F.array(words(text)), lambda ws: F.arrays_overlap(F.when(F.size(ws) >= MAX_N, F.transform(F.sequence(F.lit(1), F.size(ws) - (MAX_N - 1)), _joined(ws, MAX_N))).otherwise(F.array().cast("array<string>")), known))
+
+
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The anchored lines: ``id``, ``paragraph`` (from 0), ``body``."""
-    lines = docs.where(anchored(F.col(text_col))).select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "body"))
-    return lines.where(anchored(F.col("body")))
+    """Lines and blocks (two or more lines without a blank one between) that hold an anchor or a trigram of a template.
+
+    ``id``, ``paragraph`` (the line, or a block's first one, from 0), ``body``, ``whole`` (a block), ``block`` (its
+    first line), ``span`` (hash of the block), ``listed`` (an anchored line).
+    """
+    cut = F.split(F.col(text_col), r"(?<=\n)(?=[ \t\r\f\x0b]*\n)")  # a blank line begins the next piece; all characters stay
+    pieces = F.transform(cut, lambda x, k: F.struct(k.alias("k"), x.alias("x")))
+    breaks = F.transform(cut, lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))
+    found = docs.select(F.col(id_col).alias("id"), breaks.alias("breaks"), F.explode(F.filter(pieces, lambda p: anchored(p["x"]) | near_template(p["x"]))).alias("p"))
+    first = F.aggregate(F.slice("breaks", F.lit(1), F.col("p.k")), F.lit(0), lambda a, x: a + x)
+    blocks = found.select("id", F.col("p.x").alias("x"), first.alias("first"), F.xxhash64("p.x").alias("span"))
+    # a piece that begins with a blank line has its block one line later
+    lead = F.when(F.col("x").rlike(r"^[ \t\r\f\x0b]*\n"), 1).otherwise(0)
+    blocks = blocks.withColumn("block", F.col("first") + lead)
+    lines = blocks.select("id", "first", "block", "span", F.posexplode(F.split("x", "\n")).alias("k", "body"))
+    lines = lines.withColumn("listed", anchored(F.col("body"))).where(F.col("listed") | near_template(F.col("body")))
+    lines = lines.select("id", (F.col("first") + F.col("k")).alias("paragraph"), "body", F.lit(False).alias("whole"), "block", "span", "listed")
+    several = F.size(F.filter(F.split("x", "\n"), lambda x: F.trim(x) != "")) > 1
+    return lines.unionByName(blocks.where(several).select("id", F.col("block").alias("paragraph"), F.col("x").alias("body"), F.lit(True).alias("whole"), "block", "span", F.lit(False).alias("listed")))
 
 
 def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``paragraph``, ``family``, ``probability``, ``cover``, ``confirmed`` of every anchored line."""
+    """``id``, ``paragraph``, ``family``, ``probability``, ``cover``, ``confirmed`` of every anchored line and of all that is confirmed.
+
+    A block counts when none of its lines is confirmed for its family; it then stands in the place of its first line.
+    """
     spark = docs.sparkSession
     rows = paragraphs(docs, id_col, text_col).withColumn("body", F.array_join(words(F.col("body")), " ")).withColumn("ws", F.split("body", " "))
     rows = rows.withColumn("grams", ngrams(F.col("ws"))).withColumn("mark", F.xxhash64("body")).drop("body", "ws")
-    keys = ["id", "paragraph", "mark"]
+    keys = ["id", "paragraph", "mark", "whole", "block", "span", "listed"]
     p = logits(rows, model, keys).withColumn("p", softmax(F.col("z"), model["temperature"]))
     best = F.array_position("p", F.array_max("p")).cast("int")
     p = p.select(*keys, best.alias("at"), F.array_max("p").alias("probability"))
@@ -237,7 +269,16 @@ def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
     same = [p[k].eqNullSafe(cover[k]) for k in keys] + [p["predicted"] == cover["predicted"]]
     out = p.join(cover, same, "left").select(*[p[k] for k in keys], p["predicted"], "probability", F.coalesce("cover", F.lit(0.0)).alias("cover"))
     sure = (F.col("predicted") != UNKNOWN) & (F.col("cover") >= MIN_COVER)
-    return out.select("id", "paragraph", F.when(sure, F.col("predicted")).otherwise(UNKNOWN).alias("family"), "predicted", F.round("probability", 6).alias("probability"), F.round("cover", 6).alias("cover"), sure.alias("confirmed"))
+    out = out.select(*keys, F.when(sure, F.col("predicted")).otherwise(UNKNOWN).alias("family"), "predicted", F.round("probability", 6).alias("probability"), F.round("cover", 6).alias("cover"), sure.alias("confirmed")).where("listed or confirmed")
+    shown = [F.max_by(c, F.struct("confirmed", ~F.col("whole"), "span")).alias(c) for c in ("family", "predicted", "probability", "cover", "confirmed")]
+    at = ["id", "block", "span"]
+    told = out.where("not whole and confirmed").groupBy(*at).agg(F.collect_set("family").alias("__told"))
+    told = told.select(*[F.col(k).alias(f"__{k}") for k in at], "__told")
+    out = out.join(told, [out[k].eqNullSafe(told[f"__{k}"]) for k in at][0] & (out["block"] == told["__block"]) & (out["span"] == told["__span"]), "left")
+    out = out.where(~F.col("whole") | F.col("__told").isNull() | ~F.expr("array_contains(__told, family)"))
+    # a confirmed block takes the place of its first line when that is not confirmed itself
+    first = F.when(F.col("paragraph") == F.col("block"), F.col("span")).otherwise(F.col("mark"))
+    return out.groupBy("id", "paragraph", first.alias("__u")).agg(*shown).drop("__u")
 
 
 def op5_licence_scan(spark, sf_dir: str) -> DataFrame:

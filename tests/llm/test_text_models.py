@@ -96,6 +96,14 @@ def test_licences(spark):
     assert all(f == "unknown" for (i, _), f in by.items() if i is not None and i >= 900)
 
 
+def test_wrapped_and_anchorless_licences(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal\nin the Software without restriction."
+    rows = [(1, bsd), (2, "Prose here.\n\n \n" + mit + "\n\nMore prose."), (3, "Plain words.\nText available under CC BY 4.0.\nMore words."), (4, "Nothing of the kind.\nNo more."), (5, "Prose.\nReleased under the MIT License.\nProse.")]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), licences.fit(spark)).where("confirmed").collect()
+    assert sorted((r["id"], r["paragraph"], r["family"]) for r in got) == [(1, 0, "BSD"), (2, 3, "MIT"), (3, 1, "CC-BY-4.0"), (5, 1, "MIT")]
+
+
 def fill(budget, weights, caps):
     """Water level by bisection."""
     if budget >= sum(caps):
