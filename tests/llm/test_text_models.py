@@ -1,3 +1,5 @@
+import math
+import re
 import struct
 
 import numpy as np
@@ -65,7 +67,7 @@ def test_toxicity_learns_and_holds_out(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     lab = spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.fit(toxicity.training_rows(docs, lab))
-    assert "moron" in model.weights
+    assert "moron" in model.words
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
     assert all((got[k] >= toxicity.THRESHOLD) == (k % 4 == 0) for k in range(240))
     assert max(got[k] for k in (900, 901, 902, 903)) < toxicity.THRESHOLD and all(0 <= s <= 1 for s in got.values())
@@ -74,11 +76,87 @@ def test_toxicity_learns_and_holds_out(spark):
 
 
 def test_exception_phrases():
-    m = toxicity.Model({"trash": 1.0}, ["trash can"], (-3.0, 2.0, 5.0))
+    m = toxicity.Model({"trash": 1.0}, {}, ["trash can"], (-3.0, 2.0, 5.0))
     a = m.automaton()
     assert toxicity.features("the trash can", a) == (0.0, 0.0) and toxicity.features("you trash", a)[0] == 1.0 and toxicity.features("trashy", a)[0] == 0.0
 
 
+def plain_features(text, m):
+    """The features by plain string search, word for word."""
+    t = toxicity.fold(text)
+    runs = [(x.start(), x.end()) for x in re.finditer(r"[^\W\d_]+", t)]
+    hit = {}
+    for a, b in runs:
+        if t[a:b] in m.words:
+            hit[a] = (b, m.words[t[a:b]])
+    n = max(1, len(t.split()))
+    for p, w in m.beginnings.items():
+        at = [a for a, b in runs if t[a:b].startswith(p)]
+        if len(at) >= toxicity.LEVEL * n:
+            for a in at:
+                hit.setdefault(a, (a + len(p), w))
+    shields = [(a, a + len(p)) for p in m.exceptions for a in range(len(t)) if t.startswith(p, a) and not (a and t[a - 1].isalpha()) and not t[a + len(p) : a + len(p) + 1].isalpha()]
+    total = sum(w for a, (b, w) in hit.items() if not any(x <= a and b <= y for x, y in shields))
+    return (1.0, math.log1p(100 * total / n)) if total else (0.0, 0.0)
+
+
+def test_scores_match_a_plain_search(spark):
+    rng = np.random.default_rng(8)
+    m = toxicity.Model({"moron": 1.0, "trash": 0.7, "schwer": 0.5}, {"schwer": 0.9, "trash": 0.6}, ["trash can", "a moron"], (-3.0, 2.0, 1.5))
+    vocab = ["moron", "M0R0N", "trash", "trash can", "trashy", "schwere", "schwerlich", "schwer", "a", "kind", "wort", "x9", "trash-can", "a moron"]
+    texts = [" ".join(rng.choice(vocab, int(n))) for n in rng.integers(0, 60, 200)] + ["wort " * 400 + "schwere", "wort " * 60 + "schwere", None, ""]
+    a = m.automaton()
+    for t in texts:
+        assert np.allclose(toxicity.features(t, a), plain_features(t, m))
+    df = spark.createDataFrame([(k, t, 5) for k, t in enumerate(texts)] * 2, "doc_id long, text string, y int")
+    want = {k: 1 / (1 + math.exp(3 - 2 * f[0] - 1.5 * f[1])) for k, f in enumerate(plain_features(t, m) for t in texts)}
+    got = toxicity.score(df, m).collect()
+    assert len(got) == 2 * len(texts) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-12 and r["y"] == 5 for r in got)
+    assert toxicity.score(df.limit(0), m).count() == 0
+
+
+def test_toxicity_learns_beginnings_and_exceptions(spark):
+    rng = np.random.default_rng(3)
+    ends = ["en", "ung", "lich", "bar", "keit", "los"]
+    rows, labels = [], []
+    for k in range(300):
+        words = [f"wort{rng.choice(ends)}{chr(97 + int(rng.integers(26)))}" for _ in range(150)]
+        if k % 5 == 0:  # a stem that is rare in clean texts
+            for p in rng.choice(150, 5, replace=False):
+                words[p] = "grobian" + rng.choice(ends)
+        elif k % 10 == 1:
+            words[int(rng.integers(150))] = "grobianen"
+        if k % 5 == 1:
+            words[7:9] = ["idiot", "savant"]
+        elif k % 5 == 0:
+            words[7:9] = ["idiot", words[8]]
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(k % 5 == 0)))
+    rows += [(0, rows[0][1])] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = toxicity.training_rows(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).persist()
+    assert train.where("y = 1").count() <= 60  # copies of a text count once
+    model = toxicity.fit(train)
+    assert [p for p in model.beginnings if "grobian".startswith(p) or p.startswith("grobian")]
+    assert "idiot" not in model.words or "idiot savant" in model.exceptions
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert all((got[k] >= toxicity.THRESHOLD) == (k % 5 == 0) for k in range(300))
+    assert toxicity.best_beginnings([("abcd", 3.1), ("abcde", 4.0), ("abcdef", 4.0), ("xyzw", 3.0)]) == {"abcdef": 4.0, "xyzw": 3.0}
+
+
+def test_toxicity_on_held_out_rows_of_every_language(spark):
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic").distinct()
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(F.broadcast(labels.select("doc_id")), "doc_id", "left_semi")
+    model = toxicity.fitted(docs, labels, Scratch(spark, "t-tox"))
+    out = toxicity.score(docs.where(toxicity.held_out("doc_id")), model).join(labels, "doc_id")
+    flag = F.avg((F.col("score") >= toxicity.THRESHOLD).cast("int"))
+    got = {(r["lang"], r["toxic"]): r["flag"] for r in out.groupBy("lang", "toxic").agg(flag.alias("flag")).collect()}
+    assert min(v for (_, y), v in got.items() if y == 1) >= 0.9 and max(v for (_, y), v in got.items() if y == 0) <= 0.04
+    every = {r["toxic"]: r["flag"] for r in out.groupBy("toxic").agg(flag.alias("flag")).collect()}
+    assert every[1] >= 0.92 and every[0] <= 0.02
+
+
 def test_templates_have_anchors():
     assert all(any(a in t.lower() for a in licences.ANCHORS) for ts in licences.TEMPLATES.values() for t in ts)
 
