@@ -7,13 +7,13 @@ so shortages move to siblings before ancestors. The level of water in a node is
 in order of capacity per weight, of (budget - capacities before) / (weights from here on).
 
 A leaf's budget buys whole epochs of all its documents, and of the next epoch the prefix, in the order of
-md5(seed|epoch|id), of the documents whose running token sum stays within the rest. The running sum is found in two
+md5(seed|epoch|id|tokens), of the documents whose running token sum stays within the rest. The running sum is found in two
 steps: sums per range of the order (at most RANGES for each leaf), then rows of the one range that holds the cut.
 
 Bound: the tree has at most MAX_LEAVES leaves (more is an error, not a cut); their table is all that is broadcast.
 
 Edge cases: null and unknown names count as ``other``; null texts have no tokens; a leaf without tokens selects
-nothing; a null id is ordered as the empty text; repeated rows are separate documents; an empty table gives no rows;
+nothing; a null id is ordered as the empty text (and by its tokens, so null ids do not meet in one range); repeated rows are separate documents; an empty table gives no rows;
 other columns are kept by :func:`mix` (added ones are ``epoch`` and ``tokens``).
 """
 
@@ -113,9 +113,9 @@ def mix(docs: DataFrame, scratch: Scratch, targets: Targets, id_col: str = "doc_
         raise ValueError(f"{n} leaves; the tree of weights may have {MAX_LEAVES}")
     deal = plan(leaves, targets).withColumn("full", F.expr("budget div leaf_tokens")).withColumn("rest", F.col("budget") - F.col("full") * F.col("leaf_tokens"))
     deal = scratch.write(deal, "deal")
-    order = lambda i: F.md5(F.concat_ws("|", F.lit(str(targets.seed)), F.col("full").cast("string"), F.coalesce(i, F.lit(""))).cast("binary"))
+    order = lambda i, full: F.md5(F.concat_ws("|", F.lit(str(targets.seed)), F.col(full).cast("string"), F.coalesce(i, F.lit("")), F.col("tokens").cast("string")).cast("binary"))
     # the range of the order in which a leaf's rest ends
-    ranged = narrow.join(F.broadcast(deal), list(LEVELS)).withColumn("cell", F.substring(order(F.col("id")), 1, RANGE_DIGITS))
+    ranged = narrow.join(F.broadcast(deal), list(LEVELS)).withColumn("cell", F.substring(order(F.col("id"), "full"), 1, RANGE_DIGITS))
     sums = ranged.groupBy(*LEVELS, "rest", "cell").agg(F.sum("tokens").alias("t"))
     w = Window.partitionBy(*LEVELS).orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.withColumn("upto", F.sum("t").over(w)).where(F.col("upto") > F.col("rest"))
@@ -124,7 +124,7 @@ def mix(docs: DataFrame, scratch: Scratch, targets: Targets, id_col: str = "doc_
     deal = scratch.write(deal, "cuts")
     on = [F.col(f"__{c}") == F.col(f"__k_{c}") for c in LEVELS]
     rows = base.join(F.broadcast(deal), on)
-    key = F.md5(F.concat_ws("|", F.lit(str(targets.seed)), F.col("__full").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    key = order(F.col(id_col).cast("string"), "__full")
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("epoch", "tokens")]
     whole = rows.where("__full > 0").select(*columns, "tokens", F.explode(F.sequence(F.lit(0), F.col("__full").cast("int") - 1)).alias("epoch"))
     nxt = rows.withColumn("__key", key).withColumn("__at", F.substring("__key", 1, RANGE_DIGITS))
@@ -154,7 +154,7 @@ WITH docs AS (SELECT doc_id, {DOMAIN_SQL.format(string='VARCHAR')} AS domain, co
 leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM docs GROUP BY domain, lang, source),
 {budgets_sql(t, 'VARCHAR')},
 dealt AS (SELECT *, budget // leaf_tokens AS full_epochs, budget - (budget // leaf_tokens) * leaf_tokens AS rest FROM leaf_budgets),
-rows_ AS (SELECT d.*, full_epochs, rest, md5('{t.seed}|' || CAST(full_epochs AS VARCHAR) || '|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM docs d JOIN dealt USING (domain, lang, source)),
+rows_ AS (SELECT d.*, full_epochs, rest, md5('{t.seed}|' || CAST(full_epochs AS VARCHAR) || '|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(tokens AS VARCHAR)) AS k FROM docs d JOIN dealt USING (domain, lang, source)),
 summed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM rows_)
 SELECT doc_id, domain, lang, source, tokens, CAST(e AS INTEGER) AS epoch FROM summed, range({t.max_epochs + 1}) r(e) WHERE e < full_epochs OR (e = full_epochs AND upto <= rest)
 """

@@ -2,19 +2,27 @@
 
 Every tree gives each vector a long hash string: symbols of cross-polytope hashes (pseudo-random rotations), packed
 into one long so that strings sort as numbers and every prefix is a range. A query descends in all trees to its
-longest prefix that other strings share, and the trees ascend together, one symbol at a time, until the rows under the
-prefixes reach ``share`` of the table (``least`` at the least); level 0 is the whole table. All rows under the
+longest prefixes and the trees ascend together, one symbol at a time, until the rows under the prefixes reach the
+budget. Within the last symbol the trees ascend in the order of the query's projections on the axes of its prefix
+(nearest first), so trees end at prefixes of different lengths and some are not used at all. All rows under the chosen
 prefixes are compared by their cosine in double precision: no candidate is cut off. A prefix with many rows is cut
 into blocks, each block is compared with all its queries as matrices, and only the best few of a block leave it.
 Equal vectors are one node, with the smallest ids of its members.
 
+The budget of a query is FACTOR * n ** EXPONENT rows of n: it grows slower than the table. It is laid out for unrelated
+vectors, where neighbours are hardest to tell from others (recall by size: see the README); related ones need less.
+``budget=math.inf`` compares every query with every row (exact). A forest whose prefixes hold fewer rows than the
+budget, which is so below about 2,000 rows, has no choice and compares with all rows too.
+
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, nor do rows with a null id; ties go to the smaller id; a query's own row is no candidate, other rows with its id
-are; fewer candidates than asked are all returned; an empty table gives no rows; other columns are ignored.
+are none either (they are the same query); fewer candidates than asked are all returned; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +36,7 @@ from .vectors import common_length, pack, rotate, unit, unpack, width
 
 TREES = 48
 DEPTH = 3
-SHARE = 0.25
-LEAST = 1500
+FACTOR, EXPONENT = 1.1, 0.85
 SEED = 11
 POINTS = 4096
 QUERIES = 512
@@ -39,16 +46,21 @@ def symbol_bits(length: int) -> int:
     return (2 * width(length) - 1).bit_length()
 
 
-def hash_strings(x: np.ndarray, trees: int, depth: int, seed: int, bits: int) -> np.ndarray:
-    """rows x trees: the string of ``depth`` symbols as a long."""
-    out = np.zeros((len(x), trees), np.int64)
+def hash_strings(x: np.ndarray, trees: int, depth: int, seed: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """rows x trees: the string of ``depth`` symbols as a long; rows x trees x depth: the sums of the projections so far."""
+    out, near = np.zeros((len(x), trees), np.int64), np.zeros((len(x), trees, depth))
     for t in range(trees):
         for d in range(depth):
             y = rotate(x, seed, t * depth + d)
             axis = np.abs(y).argmax(axis=1)
-            symbol = axis * 2 + (y[np.arange(len(x)), axis] < 0)
-            out[:, t] = (out[:, t] << bits) | symbol
-    return out
+            top = y[np.arange(len(x)), axis]
+            out[:, t] = (out[:, t] << bits) | (axis * 2 + (top < 0))
+            near[:, t, d] = np.abs(top)
+    return out, near.cumsum(axis=2)
+
+
+def row_budget(n: int) -> int:
+    return math.ceil(FACTOR * n**EXPONENT)
 
 
 def _prefix(code, level: int, depth: int, bits: int):
@@ -59,7 +71,7 @@ def _cosines(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return (q * p).sum(axis=1)
 
 
-def search(rows: DataFrame, scratch: Scratch, is_query, k: int = 5, id_col="vec_id", vec_col="embedding", trees: int = TREES, depth: int = DEPTH, share: float = SHARE, least: int = LEAST, seed: int = SEED) -> DataFrame:
+def search(rows: DataFrame, scratch: Scratch, is_query, k: int = 5, id_col="vec_id", vec_col="embedding", trees: int = TREES, depth: int = DEPTH, budget: float | None = None, seed: int = SEED) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` nearest found of every row where ``is_query`` holds."""
     length = common_length(rows, vec_col)
     bits = symbol_bits(max(length, 1))
@@ -71,45 +83,50 @@ def search(rows: DataFrame, scratch: Scratch, is_query, k: int = 5, id_col="vec_
     nodes = scratch.write(nodes, "nodes")
     queries = packed.where(is_query(F.col("id"))).groupBy("id", "vec").agg(F.count("*").alias("copies")).select(F.col("id").alias("query_id"), "vec")
     queries = scratch.write(queries, "queries")
-    n = nodes.count()
-    wanted = max(least, int(np.ceil(share * n)))
+    wanted = row_budget(nodes.count()) if budget is None else budget
 
-    def strings(name: str):
+    def strings(name: str, asks: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for s in range(0, b.num_rows, 1024):
                     p = b.slice(s, 1024)
-                    code = hash_strings(unit(unpack(p.column(1), length)), trees, depth, seed, bits)
+                    code, near = hash_strings(unit(unpack(p.column(1), length)), trees, depth, seed, bits)
                     row = pa.array(np.repeat(np.arange(p.num_rows), trees))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), p.num_rows)), pa.array(code.ravel()), p.column(0).take(row)], names=["tree", "code", name])
+                    columns = [pa.array(np.tile(np.arange(trees, dtype=np.int32), p.num_rows)), pa.array(code.ravel()), p.column(0).take(row)]
+                    if asks:
+                        columns.append(pa.FixedSizeListArray.from_arrays(pa.array(near.ravel()), depth).cast(pa.list_(pa.float64())))
+                    yield pa.RecordBatch.from_arrays(columns, names=["tree", "code", name, "near"][: len(columns)])
 
         return run
 
-    points = scratch.write(nodes.select("id", "vec").mapInArrow(strings("id"), "tree int, code long, id long"), "points")
-    asked = scratch.write(queries.mapInArrow(strings("query_id"), "tree int, code long, query_id long"), "asked")
+    points = scratch.write(nodes.select("id", "vec").mapInArrow(strings("id", False), "tree int, code long, id long"), "points")
+    asked = scratch.write(queries.mapInArrow(strings("query_id", True), "tree int, code long, query_id long, near array<double>"), "asked")
     # rows under every prefix, from the full strings up
-    counts = points.groupBy("tree", F.col("code").alias("prefix")).agg(F.count("*").alias("n")).withColumn("level", F.lit(depth))
-    levels = [counts]
+    levels = [points.groupBy("tree", F.col("code").alias("prefix")).agg(F.count("*").alias("n")).withColumn("level", F.lit(depth))]
     for level in range(depth - 1, 0, -1):
-        up = levels[-1].groupBy("tree", F.shiftright("prefix", bits).alias("prefix")).agg(F.sum("n").alias("n")).withColumn("level", F.lit(level))
-        levels.append(up)
+        levels.append(levels[-1].groupBy("tree", F.shiftright("prefix", bits).alias("prefix")).agg(F.sum("n").alias("n")).withColumn("level", F.lit(level)))
     tree = levels[0]
     for x in levels[1:]:
         tree = tree.unionByName(x)
     tree = scratch.write(tree, "tree")
-    each = F.explode(F.array(*[F.struct(F.lit(v).alias("level"), _prefix(F.col("code"), v, depth, bits).alias("prefix")) for v in range(1, depth + 1)]))
-    paths = asked.select("query_id", "tree", each.alias("x")).select("query_id", "tree", "x.level", "x.prefix")
-    met = paths.join(tree, ["tree", "level", "prefix"]).groupBy("query_id", "level").agg(F.sum("n").alias("n"))
-    chosen = met.where(F.col("n") >= wanted).groupBy("query_id").agg(F.max("level").alias("level"))
-    chosen = scratch.write(queries.select("query_id").join(chosen, "query_id", "left").select("query_id", F.coalesce("level", F.lit(0)).alias("level")), "chosen")
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("level"), _prefix(F.col("code"), v, depth, bits).alias("prefix"), F.col("near")[v - 1].alias("near")) for v in range(1, depth + 1)]))
+    paths = asked.select("query_id", "tree", each.alias("x")).select("query_id", "tree", "x.*").join(tree, ["tree", "level", "prefix"])
+    # one symbol up in one tree adds the rows under the shorter prefix that were not under the longer one
+    up = Window.partitionBy("query_id", "tree").orderBy(F.desc("level"))
+    paths = paths.withColumn("gain", F.col("n") - F.coalesce(F.lag("n").over(up), F.lit(0)))
+    climb = Window.partitionBy("query_id").orderBy(F.desc("level"), F.desc("near"), "tree")  # trees x depth rows
+    paths = paths.withColumn("before", F.sum("gain").over(climb.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("gain"))
+    paths = paths.withColumn("all", F.sum("gain").over(Window.partitionBy("query_id")))
+    used = paths.where((F.col("before") < wanted) & (F.col("all") >= wanted)).groupBy("query_id", "tree").agg(F.min("level").alias("level"))
+    chosen = scratch.write(queries.select("query_id").join(used, "query_id", "left").select("query_id", F.coalesce("tree", F.lit(0)).alias("tree"), F.coalesce("level", F.lit(0)).alias("level")), "chosen")
     # level 0 is one prefix of one tree
     node_key = lambda level, t, prefix: F.when(level == 0, F.xxhash64(F.lit(0), F.lit(0), F.lit(0).cast("long"))).otherwise(F.xxhash64(level, t, prefix))
-    goal = asked.join(chosen, "query_id").where((F.col("level") > 0) | (F.col("tree") == 0))
     at = F.when(F.col("level") == 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftright(code, {bits} * ({depth} - level))"))
-    goal = goal.select("query_id", node_key(F.col("level"), F.col("tree"), at).alias("key"))
-    used = [r["level"] for r in chosen.select("level").distinct().collect()]  # at most depth + 1 values
-    every = F.explode(F.array(*[node_key(F.lit(v), F.col("tree"), _prefix(F.col("code"), v, depth, bits) if v else F.lit(0).cast("long")) for v in used])) if used else F.explode(F.array().cast("array<bigint>"))
-    under = points.where("tree = 0" if used == [0] else "true").select("id", "tree", every.alias("key")).where((F.col("tree") == 0) | (F.col("key") != F.xxhash64(F.lit(0), F.lit(0), F.lit(0).cast("long"))))
+    goal = asked.join(chosen, ["query_id", "tree"]).select("query_id", node_key(F.col("level"), F.col("tree"), at).alias("key"))
+    seen = [r["level"] for r in chosen.select("level").distinct().collect()]  # at most depth + 1 values
+    nowhere = F.xxhash64(F.lit(0), F.lit(0), F.lit(0).cast("long"))
+    every = F.explode(F.array(*[node_key(F.lit(v), F.col("tree"), _prefix(F.col("code"), v, depth, bits) if v else F.lit(0).cast("long")) for v in seen])) if seen else F.explode(F.array().cast("array<bigint>"))
+    under = points.where("tree = 0" if seen == [0] else "true").select("id", "tree", every.alias("key")).where((F.col("tree") == 0) | (F.col("key") != nowhere))
     nq = goal.groupBy("key").agg(F.count("*").alias("nq"))
     sizes = under.groupBy("key").agg(F.count("*").alias("np")).join(nq, "key").select("key", F.ceil(F.col("np") / POINTS).cast("int").alias("pb"), F.ceil(F.col("nq") / QUERIES).cast("int").alias("qb"))
     sizes = scratch.write(sizes, "sizes")

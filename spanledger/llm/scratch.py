@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that every executor and the driver can see.
 
-The folder is the one named in ``spark.checkpoint.dir``. Only where that setting is absent (tests, a laptop) a
-temporary folder is used.
+The folder is the one named in ``spark.checkpoint.dir``, else the session's checkpoint directory. Only a local master
+(tests, a laptop) without either gets a temporary folder; on a cluster their absence is an error.
 """
 
 from __future__ import annotations
@@ -20,10 +20,14 @@ def shared_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = getattr(sc, "_spanledger_root", None)
-        if root is None:
-            root = sc._spanledger_root = "file://" + tempfile.mkdtemp(prefix="spanledger-")
+        set_by_caller = sc._jsc.sc().getCheckpointDir()
+        if set_by_caller.isDefined():
+            root = set_by_caller.get()
+        elif sc.master.startswith("local"):
+            root = "file://" + tempfile.mkdtemp(prefix="spanledger-")
             sc.setCheckpointDir(root)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return root.rstrip("/")
 
 

@@ -1,13 +1,14 @@
 """Reproducible shuffle and sharding by a Feistel permutation over global row numbers.
 
-Rows are numbered 0..N-1 in the order of md5(id), id, CRC and size of the text: a rank that depends on the rows alone, not on files or
-partitions. A balanced Feistel network over the smallest even number of bits that covers N permutes the numbers;
+Rows are numbered 0..N-1 in the order of the md5 of id, CRC and size of the text: a rank that depends on the rows
+alone, not on files or partitions, and that spreads null or repeated ids with different texts over all ranges. A balanced Feistel network over the smallest even number of bits that covers N permutes the numbers;
 results of N or more walk the cycle until they fall below N, so the map is a bijection of 0..N-1. Position p goes to
 shard p mod S and slot p div S: shard sizes differ by one at most, slots have no gaps, and a row's place can be
 computed from its number alone (and inverted, see :func:`unpermute`).
 
-Edge cases: null ids are numbered like any other value (their md5 is that of the empty text); equal rows take
-neighbouring numbers and are interchangeable; null texts have size 1 and CRC 0; an empty table gives no rows.
+Edge cases: null ids are numbered like any other value (as the empty text); equal rows take neighbouring numbers and
+are interchangeable; null texts have size 1 and CRC 0; an empty table gives no rows; other columns are kept, but
+columns named like the added ones (``shard``, ``slot``, ``row_number``) are replaced.
 """
 
 from __future__ import annotations
@@ -65,7 +66,8 @@ def _walk(values, n: int, seed: int, order) -> np.ndarray:
 
 def number_rows(rows: DataFrame, id_col: str, tie_cols: list[str], number: str = "row_number") -> tuple[DataFrame, int]:
     """Adds the global row number; returns the table and N. One shuffle, over md5 ranges; no total sort."""
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    told = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_col, *tie_cols)])
+    key = F.md5(told.cast("binary"))
     cell = lambda k: F.conv(F.substring(k, 1, RANGE_DIGITS), 16, 10).cast("int")
     counts = dict(rows.groupBy(cell(key).alias("c")).count().collect())  # at most 16 ** RANGE_DIGITS rows
     starts, at = [], 0
@@ -74,7 +76,7 @@ def number_rows(rows: DataFrame, id_col: str, tie_cols: list[str], number: str =
         at += counts.get(c, 0)
     start = F.element_at(F.lit(np.array(starts, dtype=np.int64)), F.col("__c") + 1)
     w = Window.partitionBy("__c").orderBy("__k", F.col(id_col), *tie_cols)
-    out = rows.withColumn("__k", key).withColumn("__c", cell(F.col("__k")))
+    out = rows.drop(number).withColumn("__k", key).withColumn("__c", cell(F.col("__k")))
     return out.withColumn(number, start + F.row_number().over(w) - 1).drop("__k", "__c"), at
 
 
@@ -87,7 +89,7 @@ def shard(rows: DataFrame, id_col: str, tie_cols: list[str], shards: int, seed:
         return pd.Series(permute(x.to_numpy(), n, seed))
 
     p = F.col("__p")
-    out = numbered.withColumn("__p", place("row_number"))
+    out = numbered.drop("shard", "slot").withColumn("__p", place("row_number"))
     return out.withColumn("shard", F.pmod(p, F.lit(shards)).cast("int")).withColumn("slot", F.floor(p / shards).cast("long")).drop("__p")
 
 

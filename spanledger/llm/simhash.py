@@ -154,7 +154,7 @@ def plan(fps: DataFrame, distance: int = DISTANCE) -> list[tuple[list[int], int]
             row = [0.0]
             for t in range(distance + 1):
                 probes = comb(len(g), t)
-                row.append(4.0 * n * probes + pairs0 * sum(poly[s] * comb(len(g) - s, t - s) for s in range(t + 1)))
+                row.append(4.0 * max(n, 1) * probes + pairs0 * sum(poly[s] * comb(len(g) - s, t - s) for s in range(t + 1)))
             costs.append(row)
         units = allocate(costs, distance + 1)
         cost = sum(c[u] for c, u in zip(costs, units))

@@ -30,7 +30,7 @@ from .skew import attach
 from .vectors import common_length, pack, rotate, unit, unpack
 
 COSINE = 0.95
-TABLES = 12
+TABLES = 10
 PROBES = 4
 SEED = 7
 BLOCK = 512
@@ -42,19 +42,21 @@ def functions_per_table(n: int, length: int) -> int:
 
 
 def bucket_keys(x: np.ndarray, k: int, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
-    """Keys of every row's buckets: rows x tables x probes (own bucket first); each holds its table's number."""
+    """Keys of every row's buckets: rows x tables x probes (own bucket first); each holds its table's number.
+
+    There are no more probes than choices: 3 ** k with k functions.
+    """
     n = len(x)
+    deals = sorted(itertools.product(range(min(3, x.shape[1])), repeat=k), key=lambda c: (sum(c), c))
+    probes = min(probes, len(deals))
     out = np.zeros((n, tables, probes), np.int64)
-    deals = sorted(itertools.product(range(3), repeat=k), key=lambda c: (sum(c), c))
     for t in range(tables):
         axes, loss = [], []
         for f in range(k):
             y = rotate(x, seed, t * k + f)
             a = np.abs(y)
-            top = np.argpartition(-a, min(2, a.shape[1] - 1), axis=1)[:, :3]
+            top = np.argpartition(-a, min(2, a.shape[1] - 1), axis=1)[:, :3]  # the rotated width is 2 at least
             order = np.take_along_axis(top, np.argsort(-np.take_along_axis(a, top, 1), axis=1, kind="stable"), 1)
-            if order.shape[1] < 3:
-                order = np.c_[order, order[:, -1:]]
             v = np.take_along_axis(y, order, 1)
             axes.append(order * 2 + (v < 0))
             loss.append((np.abs(v[:, :1]) - np.abs(v)) ** 2)
@@ -62,8 +64,7 @@ def bucket_keys(x: np.ndarray, k: int, tables: int = TABLES, probes: int = PROBE
         best = np.argsort(cost, axis=1, kind="stable")[:, :probes]
         code = np.stack([sum(axes[f][:, c[f]].astype(np.int64) << (13 * f) for f in range(k)) for c in deals], axis=1)
         got = np.take_along_axis(code, best, 1)
-        out[:, t, : got.shape[1]] = got * tables + t
-        out[:, t, got.shape[1] :] = -1 - t
+        out[:, t] = got * tables + t
     return out
 
 

@@ -17,8 +17,9 @@ def common_length(rows: DataFrame, vec_col: str) -> int:
 
 
 def pack(rows: DataFrame, id_col: str, vec_col: str, length: int) -> DataFrame:
-    """``id`` and ``vec``: the vector's doubles as bytes, or null where it is null, zero, of another length, or holds
-    null or non-finite components."""
+    """``id`` and ``vec``: the components as bytes (of the column's own width, so nothing is rounded), or null where the
+    vector is null, zero, of another length, or holds null or non-finite components."""
+    kind = "<f4" if rows.schema[vec_col].dataType.elementType.simpleString() == "float" else "<f8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -26,7 +27,7 @@ def pack(rows: DataFrame, id_col: str, vec_col: str, length: int) -> DataFrame:
             for v in b.column(1):
                 x = None
                 if v.is_valid and len(v) == length and length and not v.values.null_count:
-                    x = v.values.to_numpy(zero_copy_only=False).astype("<f8") + 0.0
+                    x = v.values.to_numpy(zero_copy_only=False).astype(kind) + 0
                     x = x.tobytes() if np.isfinite(x).all() and x.any() else None
                 out.append(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "vec"])
@@ -35,7 +36,9 @@ def pack(rows: DataFrame, id_col: str, vec_col: str, length: int) -> DataFrame:
 
 
 def unpack(column: pa.ChunkedArray | pa.Array, length: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, length)
+    """Packed vectors as rows of doubles."""
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, "<f4" if len(raw) == 4 * length * len(column) else "<f8").astype("<f8").reshape(-1, length)
 
 
 def unit(x: np.ndarray) -> np.ndarray:

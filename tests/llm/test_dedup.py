@@ -1,4 +1,3 @@
-import hashlib
 import random
 
 import numpy as np
@@ -193,28 +192,70 @@ def test_vector_links_match_brute_force(spark, vectors):
     assert vector_dedup.near_duplicates(df.limit(0), Scratch(spark, "t-v")).count() == 0
 
 
-def test_forest_recall(spark, vectors):
+def nearest(ids, x, q, k=5):
+    """Ids and scores of the k nearest rows of row q, by brute force."""
+    s = x @ x[q]
+    s[q] = -9
+    order = np.lexsort((ids, -np.round(s, 12)))[:k]
+    return ids[order], s[order]
+
+
+def test_forest_finds_near_ones_and_is_exact_without_budget(spark, vectors):
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
-    got = {}
-    for r in prefix_forest.search(df, Scratch(spark, "t-f"), lambda c: c % 5 == 0, trees=12, least=40).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     ok = good(vectors)
-    ids = np.array([i for i, _ in ok])
-    x = np.array([v / np.linalg.norm(v) for _, v in ok])
-    hit = total = 0
-    for k, (i, _) in enumerate(ok):
-        if i % 5:
-            continue
-        s = np.round(x @ x[k], 12)
-        s[k] = -9
-        top = ids[np.lexsort((ids, -s))[:5]]
-        mine = sorted(got[i])
-        assert [r for r, _, _ in mine] == [1, 2, 3, 4, 5] and i not in [v for _, v, _ in mine]
-        assert all(abs(sc - s[list(ids).index(v)]) < 1e-9 for _, v, sc in mine)
-        hit += len({v for _, v, _ in mine} & set(top))
-        total += 5
-    assert hit / total >= 0.9 and set(got) == {i for i, _ in ok if i % 5 == 0}
-
-
-def test_digest_column_is_sha256():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+    ids, x = np.array([i for i, _ in ok]), np.array([v / np.linalg.norm(v) for _, v in ok])
+    for budget, least in ((float("inf"), 1.0), (40, 0.9)):
+        got = {}
+        for r in prefix_forest.search(df, Scratch(spark, "t-f"), lambda c: c % 5 == 0, trees=12, budget=budget).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        hit = total = 0
+        for k, (i, _) in enumerate(ok):
+            if i % 5:
+                continue
+            top, _ = nearest(ids, x, k)
+            mine = sorted(got[i])
+            assert [r for r, _, _ in mine] == [1, 2, 3, 4, 5] and i not in [v for _, v, _ in mine]
+            assert all(abs(sc - x[k] @ x[list(ids).index(v)]) < 1e-9 for _, v, sc in mine)
+            assert [(-sc, v) for _, v, sc in mine] == sorted((-sc, v) for _, v, sc in mine)  # ties to the smaller id
+            hit += len({v for _, v, _ in mine} & set(top))
+            total += 5
+        assert hit / total >= least and set(got) == {i for i, _ in ok if i % 5 == 0}
+    assert prefix_forest.search(df.limit(0), Scratch(spark, "t-f"), lambda c: c % 5 == 0).count() == 0
+
+
+def test_forest_uses_its_prefixes(spark):
+    """Unrelated vectors, production parameters: recall, and prefixes of several lengths."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, 64)).astype("float32")
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    s = Scratch(spark, "t-f")
+    got = {}
+    for r in prefix_forest.search(df, s, lambda c: c % 50 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    x = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    hit = sum(len(got[q] & set(nearest(np.arange(4000), x, q)[0])) for q in range(0, 4000, 50))
+    assert hit / (5 * 80) >= 0.9
+    levels = {r["level"] for r in spark.read.parquet(s.path("chosen")).collect()}
+    assert 0 not in levels and len(levels) > 1
+    assert prefix_forest.row_budget(10**9) < 10**8
+
+
+def test_probes_are_no_more_than_the_choices():
+    x = np.random.default_rng(1).standard_normal((50, 64))
+    for k, probes in ((1, 3), (2, 4)):
+        keys = vector_dedup.bucket_keys(x, k)
+        assert keys.shape == (50, vector_dedup.TABLES, probes)
+        assert len(np.unique(keys[:, 0, 0])) > 10 and all(len(set(r)) == probes for r in keys[:, 0])
+
+
+def test_spans_without_their_sources_words_stay():
+    words = [b"a", b"b", b"c", b"d"]
+    right, wrong = {"start": 0, "stop": 2, "digest": substrings.words_digest(words[:2])}, {"start": 2, "stop": 4, "digest": substrings.words_digest(words[:2])}
+    assert substrings.kept_words("a b  c d", [right, wrong]) == (4, [b"c", b"d"]) and substrings.kept_words(None, None) == (0, [])
+
+
+@pytest.mark.parametrize("run", [
+    lambda s, docs: substrings.repeated_spans(docs, s), lambda s, docs: simhash.near_duplicates(docs, s), lambda s, docs: simhash.near_copies(docs, s),
+])
+def test_empty_tables_give_no_rows(spark, run):
+    assert run(Scratch(spark, "t-e"), spark.createDataFrame([], DOCS)).count() == 0

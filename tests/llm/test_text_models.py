@@ -224,7 +224,7 @@ def test_budgets_are_exact_prefixes(spark):
         full, rest = divmod(int(deal[k]), total[k])
         want += [(i, e) for i, _ in rows_ for e in range(full)]
         run = 0
-        for _, n, i in sorted((hashlib.md5(f"9|{full}|{'' if i is None else i}".encode()).hexdigest(), n, i) for i, n in rows_):
+        for _, n, i in sorted((hashlib.md5(f"9|{full}|{'' if i is None else i}|{n}".encode()).hexdigest(), n, i) for i, n in rows_):
             run += n
             if run <= rest:
                 want.append((i, full))
