@@ -10,19 +10,20 @@ MEDIUM_AT, HIGH_AT, CAP, ABSTAIN = 0.50, 0.68, 0.97, 0.40
 
 
 def select_evidence(candidates: DataFrame, per_question: int = 5, per_doc: int = 2) -> DataFrame:
-    """``candidates``: qid, doc, sentence_id, norm (text), score, anchored. The greedy choice as windows.
+    """``candidates``: qid, doc, sentence_id, norm (text), score, anchored. The greedy choice, with ``place``.
 
-    Keep scores of at least 45 % of the best and 0.18; after the first, anchored ones only; one row per (doc, text);
-    two per document; five per question.
+    Scores of at least 45 % of the best and 0.18 stay; after the first, anchored ones only; one row per (doc, text);
+    two per document; five per question. The best score and the first row are aggregates, so what falls below the
+    threshold is gone before the first sort; the row limits apply before their shuffles.
     """
-    q = Window.partitionBy("qid")
+    first = F.struct(-F.col("score"), "doc", "sentence_id")
+    best = candidates.groupBy("qid").agg(F.max("score").alias("best"), F.min(first).alias("first"))
     order = [F.desc("score"), F.col("doc"), F.col("sentence_id")]
-    c = candidates.withColumn("best", F.max("score").over(q)).withColumn("r", F.row_number().over(q.orderBy(*order)))
-    c = c.where((F.col("score") >= F.greatest(0.45 * F.col("best"), F.lit(0.18))) & ((F.col("r") == 1) | F.col("anchored")))
-    c = c.withColumn("n", F.row_number().over(Window.partitionBy("qid", "doc", "norm").orderBy(*order))).where("n = 1")
-    c = c.withColumn("n", F.row_number().over(Window.partitionBy("qid", "doc").orderBy(*order))).where(F.col("n") <= per_doc)
-    c = c.withColumn("place", F.row_number().over(q.orderBy(*order))).where(F.col("place") <= per_question)
-    return c.drop("best", "r", "n")
+    c = candidates.join(best, "qid").where((F.col("score") >= F.greatest(0.45 * F.col("best"), F.lit(0.18))) & (F.col("anchored") | (first == F.col("first"))))
+    c = c.drop("best", "first")
+    for keys, most in ((("qid", "doc", "norm"), 1), (("qid", "doc"), per_doc), (("qid",), per_question)):
+        c = c.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= most)
+    return c
 
 
 def answer_confidence(best_cov, union_cov, relevance, supporting, missing_share, ocr=None, diverge=None):

@@ -8,14 +8,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the checkpoint folder (a temporary one only where none is configured)."""
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` and cut its lineage, in the checkpoint folder (a temporary one only under a local master)."""
     sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spanledger-graph-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanledger-graph-"))
     return df.checkpoint()
 
 
+#: A node counts as heavy when more than this many others follow it; its row is then joined by broadcast.
+HEAVY = 100_000
+
+
+def followed(p: DataFrame, tops: DataFrame) -> DataFrame:
+    """``id``, ``up`` and ``top``: what each node's ``up`` follows itself; a hub that many follow skews no task.
+
+    Hubs have more than HEAVY followers each, so there are at most rows / HEAVY of them; their rows travel by broadcast
+    and the rest is joined by shuffle.
+    """
+    hubs = p.groupBy("up").count().where(F.col("count") > HEAVY).select("up")
+    heavy = tops.join(hubs, "up", "left_semi").select(F.col("up").alias("hub"), F.struct("top").alias("heavy"))
+    light = tops.join(hubs, "up", "left_anti")
+    marked = p.join(F.broadcast(heavy), F.col("up") == F.col("hub"), "left").drop("hub")
+    few = marked.where("heavy is null").drop("heavy").join(light, "up", "left")
+    many = marked.where("heavy is not null").select("up", "id", F.col("heavy.top").alias("top"))
+    return few.select("id", "up", F.coalesce("top", "up").alias("top")).unionByName(many.select("id", "up", "top"))
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """``a``, ``b`` to ``id``, ``component`` (smallest id).
 
@@ -23,26 +45,26 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     between those ends; the nodes that are left at least halve. The rounds' maps are composed at the end.
     """
     e = edges.where("a is not null and b is not null and a != b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"))
-    e = _cut(e.distinct())
+    e = cut(e.distinct())
     maps = []
     for _ in range(max_rounds):
         if e.isEmpty():
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        p = _cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("up")))
+        p = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("up")))
         while True:
             above = p.select(F.col("id").alias("up"), F.col("up").alias("top"))
-            q = _cut(p.join(above, "up").select("id", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            q = cut(followed(p, above).select("id", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
             p = q.select("id", "up")
             if q.where("moved").isEmpty():
                 break
         maps.append(p)
         for c in ("a", "b"):
             e = e.join(p.select(F.col("id").alias(c), F.col("up").alias("to")), c).drop(c).withColumnRenamed("to", c)
-        e = _cut(e.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        e = cut(e.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not maps:
         return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     out = maps[-1]
     for p in reversed(maps[:-1]):
-        out = p.join(out.select(F.col("id").alias("up"), F.col("up").alias("top")), "up", "left").select("id", F.coalesce("top", "up").alias("up"))
+        out = followed(p, out.select(F.col("id").alias("up"), F.col("up").alias("top"))).select("id", F.col("top").alias("up"))
     return out.select("id", F.col("up").alias("component"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanledger.functions import text as T
+from spanledger.operators import graph
 
 K1, B, SYNONYM_WEIGHT, FUSION = 1.4, 0.75, 0.45, 20
 DEPTH = 24
@@ -27,23 +28,40 @@ SYNONYMS = {
     "payable": ["payment", "pay"], "rotate": ["change", "rotation", "expire"], "rotation": ["change", "rotate"],
 }
 ACRONYMS = {
-    "mfa": ["multi", "factor", "authentication"], "2fa": ["factor", "authentication"], "sla": ["service", "level", "agreement"],
-    "nda": ["non", "disclosure", "agreement"], "kpi": ["key", "performance", "indicator"], "ceo": ["chief", "executive", "officer"],
+    "mfa": ["multi", "factor", "authentication"], "2fa": ["two", "factor", "authentication"], "sla": ["service", "level", "agreement"],
+    "nda": ["non-disclosure", "agreement"], "kpi": ["key", "performance", "indicator"], "ceo": ["chief", "executive", "officer"],
     "cfo": ["chief", "financial", "officer"], "cto": ["chief", "technology", "officer"], "hr": ["human", "resources"],
-    "gdpr": ["data", "protection", "regulation"], "pto": ["paid", "time"], "sow": ["statement", "work"],
+    "gdpr": ["data", "protection", "regulation"], "pto": ["paid", "time", "off"], "sow": ["statement", "of", "work"],
 }
+# Question words too general to decide what a question is about.
+GENERIC = ["period", "term", "amount", "number", "total", "date", "time", "rate", "value", "level", "kind", "type", "part", "way", "thing", "reason", "name"]
+
+
+def substitutes(spark) -> DataFrame:
+    """``term``, ``way`` and ``others``: the stems that must all be there to stand for a term; each way stands alone."""
+    rows = [(k, f"{k}:{v}", v) for k, vs in SYNONYMS.items() for v in vs] + [(k, f"{k}*", " ".join(vs)) for k, vs in ACRONYMS.items()]
+    t = spark.createDataFrame(rows, "a string, way string, b string")
+    words = F.transform(T.content(T.tokenize(F.col("b"))), T.stem)
+    return t.select(T.stem(F.col("a")).alias("term"), "way", words.alias("others")).where("size(others) > 0")
 
 
 def expansions(spark) -> DataFrame:
-    """``term``, ``other``, ``weight``: a term itself is in the caller's hands, these are its substitutes (stems)."""
-    rows = [(k, v) for k, vs in {**SYNONYMS, **ACRONYMS}.items() for v in vs]
-    t = spark.createDataFrame(rows, "a string, b string")
-    return t.select(T.stem(F.col("a")).alias("term"), T.stem(F.col("b")).alias("other"), F.lit(SYNONYM_WEIGHT).alias("weight")).where("term != other").distinct()
+    """``term``, ``other``, ``weight``: the single stems that count for a term, in ranking, by a lesser weight."""
+    return substitutes(spark).select("term", F.explode("others").alias("other"), F.lit(SYNONYM_WEIGHT).alias("weight")).where("term != other").distinct()
 
 
 def index(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Postings: ``id``, ``term``, ``tf``; the shuffle carries partial counts."""
-    return T.content_terms(passages.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "t").groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """Postings, materialised once: ``id``, ``term``, ``tf``, and ``dl`` (the content words of the passage).
+
+    Words are counted per passage first and stemmed as a vocabulary, so a word is stemmed once and not at each place.
+    """
+    tok = F.explode(T.tokenize(F.col("t"))).alias("tok")
+    words = passages.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).select("id", tok).where(T.is_content(F.col("tok")))
+    words = graph.cut(words.groupBy("id", "tok").agg(F.count("*").alias("n")))
+    stems = words.select("tok").distinct().withColumn("term", T.stem(F.col("tok")))
+    counted = words.join(stems, "tok").groupBy("id", "term").agg(F.sum("n").alias("tf"))
+    lengths = words.groupBy("id").agg(F.sum("n").alias("dl"))
+    return graph.cut(counted.join(lengths, "id"))
 
 
 def query_terms(questions: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -56,25 +74,34 @@ def query_terms(questions: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def statistics(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``id``, ``dl``) and (``term``, ``df``)."""
-    return postings.groupBy("id").agg(F.sum("tf").alias("dl")), postings.groupBy("term").agg(F.count("*").alias("df"))
+    return postings.groupBy("id").agg(F.first("dl").alias("dl")), postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def idf(n, df):
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(passages: DataFrame, id_col: str, text_col: str, questions: DataFrame, qid_col: str, qtext_col: str, k: int = DEPTH, synonyms: bool = False) -> DataFrame:
+def known_terms(postings: DataFrame, n_passages: DataFrame, terms: DataFrame) -> DataFrame:
+    """The terms (``qid``, ``term`` and others) that some passage has, with their ``idf``; ``n_passages`` is one row ``n``."""
+    _, df = statistics(postings.join(terms.select("term").distinct(), "term", "left_semi"))
+    return terms.join(df, "term").crossJoin(F.broadcast(n_passages)).withColumn("idf", idf(F.col("n"), F.col("df"))).drop("df")
+
+
+def count_of(passages: DataFrame) -> DataFrame:
+    return passages.agg(F.count("*").alias("n"))
+
+
+def bm25(passages: DataFrame, id_col: str, text_col: str, questions: DataFrame, qid_col: str, qtext_col: str, k: int = DEPTH, synonyms: bool = False, postings: DataFrame | None = None) -> DataFrame:
     """``qid``, ``id``, ``score``, ``rank`` (from 0, ties by id): the best ``k`` passages of every question."""
-    postings = index(passages, id_col, text_col)
+    postings = index(passages, id_col, text_col) if postings is None else postings
     terms = query_terms(questions, qid_col, qtext_col).withColumn("w", F.lit(1.0))
     if synonyms:
         more = terms.join(F.broadcast(expansions(passages.sparkSession)), "term").select("qid", F.col("other").alias("term"), F.col("weight").alias("w"))
         terms = terms.unionByName(more).groupBy("qid", "term").agg(F.max("w").alias("w"))
-    length, df = statistics(postings)
-    n = passages.select(id_col).agg(F.count("*").alias("n"))
-    total = length.agg(F.sum("dl").alias("words")).crossJoin(n).select("n", (F.col("words") / F.col("n")).alias("avgdl"))  # one row
-    wanted = terms.join(df, "term").crossJoin(F.broadcast(total)).withColumn("idf", idf(F.col("n"), F.col("df")))
-    hits = postings.join(wanted, "term").join(length, "id")
+    n = count_of(passages)
+    total = postings.agg(F.sum("tf").alias("words")).crossJoin(n).select((F.col("words") / F.col("n")).alias("avgdl"))  # one row
+    wanted = known_terms(postings, n, terms).crossJoin(F.broadcast(total))
+    hits = postings.join(wanted, "term")
     tf = F.col("tf")
     part = F.col("w") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = hits.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
@@ -82,8 +109,9 @@ def bm25(passages: DataFrame, id_col: str, text_col: str, questions: DataFrame,
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` rows of every question with ``rank`` from 0; the limit on the row number applies before the shuffle."""
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return scores.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def fuse(channels: list[tuple[DataFrame, float]], depth: int = DEPTH) -> DataFrame:
@@ -121,17 +149,29 @@ def char_ngram(passages: DataFrame, id_col: str, text_col: str, questions: DataF
     return top(dots.join(pn, "id").join(qn, "qid").select("qid", "id", F.round(F.col("dot") / (F.col("pn") * F.col("qn")), 6).alias("score")), k)
 
 
-def coverage(passages: DataFrame, id_col: str, text_col: str, questions: DataFrame, qid_col: str, qtext_col: str) -> DataFrame:
+def coverage(passages: DataFrame, id_col: str, text_col: str, questions: DataFrame, qid_col: str, qtext_col: str, postings: DataFrame | None = None) -> DataFrame:
     """``qid``, ``id``, ``coverage``: the idf share of a question's known terms that a passage has."""
-    postings = index(passages, id_col, text_col)
-    _, df = statistics(postings)
-    n = passages.select(id_col).agg(F.count("*").alias("n"))
-    terms = query_terms(questions, qid_col, qtext_col).join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", idf(F.col("n"), F.col("df")))
-    total = terms.groupBy("qid").agg(F.sum("w").alias("total"))
-    got = postings.join(terms, "term").groupBy("qid", "id").agg(F.sum("w").alias("got"))
+    postings = index(passages, id_col, text_col) if postings is None else postings
+    terms = known_terms(postings, count_of(passages), query_terms(questions, qid_col, qtext_col))
+    total = terms.groupBy("qid").agg(F.sum("idf").alias("total"))
+    got = postings.join(terms.select("qid", "term", "idf"), "term").groupBy("qid", "id").agg(F.sum("idf").alias("got"))
     return got.join(total, "qid").select("qid", "id", F.round(F.col("got") / F.col("total"), 6).alias("coverage"))
 
 
+def anchors(known: DataFrame, most: int = 2, share: float = 0.75) -> DataFrame:
+    """``qid``, ``term``: the rarest known terms that are not generic, of at least ``share`` of the highest idf."""
+    k = known.where(~F.col("term").isin(GENERIC)).select("qid", "term", "idf")
+    highest = k.groupBy("qid").agg(F.max("idf").alias("highest"))
+    w = Window.partitionBy("qid").orderBy(F.desc("idf"), "term")
+    k = k.join(highest, "qid").where(F.col("idf") >= share * F.col("highest"))
+    return k.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).select("qid", "term")
+
+
+def anchored(postings: DataFrame, known: DataFrame) -> DataFrame:
+    """``qid``, ``id`` of the passages that have an anchor of the question."""
+    return postings.select("id", "term").join(anchors(known), "term").select("qid", "id").distinct()
+
+
 def cosine(a, b):
     """Cosine of two array<double> columns."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)

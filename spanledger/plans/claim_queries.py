@@ -82,10 +82,15 @@ def conflict_components(spark, d):
 
 
 def evidence_greedy(spark, d):
+    """Documents as evidence for the benchmark questions: best coverage, anchored, one of equal texts, two of a source."""
     docs, b = table(spark, d, "documents"), table(spark, d, "benchmark")
-    cov = R.coverage(docs, "doc_id", "text", b, "item_id", "text")
-    norm = docs.select("doc_id", "source", F.md5(F.substring("text", 1, 40).cast("binary")).alias("norm"))
-    c = cov.join(norm, cov["id"] == norm["doc_id"]).select("qid", F.col("source").alias("doc"), F.col("id").alias("sentence_id"), "norm", F.col("coverage").alias("score"), (F.col("id") % 2 == 0).alias("anchored"))
+    postings = R.index(docs, "doc_id", "text")
+    cov = R.coverage(docs, "doc_id", "text", b, "item_id", "text", postings=postings)
+    known = R.known_terms(postings, R.count_of(docs), R.query_terms(b, "item_id", "text"))
+    hit = R.anchored(postings, known).select("qid", "id", F.lit(True).alias("anchored"))
+    norm = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("doc"), F.md5(F.lower(T.normalize_ws(F.col("text"))).cast("binary")).alias("norm"))
+    c = cov.join(hit, ["qid", "id"], "left").join(norm, "id")
+    c = c.select("qid", "doc", F.col("id").alias("sentence_id"), "norm", F.col("coverage").alias("score"), F.coalesce("anchored", F.lit(False)).alias("anchored"))
     return answers.select_evidence(c).select("qid", "doc", "sentence_id", "score", "place")
 
 
@@ -186,7 +191,10 @@ e AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM c WHERE b IS NOT NULL AND a !=
 n AS (SELECT DISTINCT a AS id FROM e)
 SELECT 1 WHERE false""",
     "evidence_greedy": f"""{_COVERAGE},
-c AS (SELECT qid, source AS doc, id AS sentence_id, md5(substr(text, 1, 40)) AS norm, coverage AS score, id % 2 = 0 AS anchored FROM cov JOIN documents ON doc_id = id),
+known AS (SELECT qid, term, idf, max(idf) OVER (PARTITION BY qid) AS highest FROM q_terms JOIN dfs USING (term) WHERE term NOT IN ({", ".join("'" + w + "'" for w in R.GENERIC)})),
+anchor AS (SELECT qid, term FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY idf DESC, term) AS nth FROM known WHERE idf >= 0.75 * highest) WHERE nth <= 2),
+hit AS (SELECT DISTINCT qid, id, true AS anchored FROM postings JOIN anchor USING (term)),
+c AS (SELECT qid, source AS doc, id AS sentence_id, md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS norm, coverage AS score, coalesce(anchored, false) AS anchored FROM cov JOIN documents ON doc_id = id LEFT JOIN hit USING (qid, id)),
 s1 AS (SELECT *, max(score) OVER (PARTITION BY qid) AS best, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc, sentence_id) AS r FROM c),
 s2 AS (SELECT *, row_number() OVER (PARTITION BY qid, doc, norm ORDER BY score DESC, doc, sentence_id) AS n FROM s1 WHERE score >= greatest(0.45 * best, 0.18) AND (r = 1 OR anchored)),
 s3 AS (SELECT *, row_number() OVER (PARTITION BY qid, doc ORDER BY score DESC, doc, sentence_id) AS m FROM s2 WHERE n = 1),

@@ -32,8 +32,7 @@ def bm25_topk(spark, d):
 
 
 def char_ngram_topk(spark, d):
-    b = table(spark, d, "benchmark")
-    return R.char_ngram(b, "item_id", "text", b, "item_id", "text", k=3)
+    return R.char_ngram(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", k=3)
 
 
 def dense_topk(spark, d):
@@ -43,8 +42,10 @@ def dense_topk(spark, d):
 
 def rrf_fusion(spark, d):
     docs, b = table(spark, d, "documents"), table(spark, d, "benchmark")
-    lexical = R.bm25(docs, "doc_id", "text", b, "item_id", "text", k=R.DEPTH)
-    cov = R.top(R.coverage(docs, "doc_id", "text", b, "item_id", "text").withColumnRenamed("coverage", "score"), R.DEPTH)
+    args = (docs, "doc_id", "text", b, "item_id", "text")
+    postings = R.index(docs, "doc_id", "text")
+    lexical = R.bm25(*args, k=R.DEPTH, postings=postings)
+    cov = R.top(R.coverage(*args, postings=postings).withColumnRenamed("coverage", "score"), R.DEPTH)
     return R.fuse([(lexical, 1.0), (cov, 0.6)])
 
 
@@ -52,6 +53,19 @@ def term_coverage(spark, d):
     return R.coverage(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
 
 
+def number_within(rows, key: str, order: str, width: int = 1 << 14):
+    """Adds ``n``: the place of a row among those of its key, by the long ``order``.
+
+    Rows are numbered inside ranges of ``order`` and the ranges' counts are summed up, so no key is one task.
+    """
+    cell = F.floor(F.col(order) / width)
+    counts = rows.groupBy(key, cell.alias("__cell")).agg(F.count("*").alias("__rows"))
+    upto = Window.partitionBy(key).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(key, "__cell", F.coalesce(F.sum("__rows").over(upto), F.lit(0)).alias("__start"))
+    inside = rows.withColumn("__cell", cell).withColumn("__n", F.row_number().over(Window.partitionBy(key, "__cell").orderBy(order)))
+    return inside.join(starts, [key, "__cell"]).withColumn("n", F.col("__start") + F.col("__n")).drop("__cell", "__n", "__start")
+
+
 def quote_verify(spark, d):
     """Which documents hold a benchmark text verbatim; candidates meet on the quote's longest token."""
     quotes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
@@ -70,10 +84,10 @@ def dedupe_sha256(spark, d):
 
 
 def unique_names(spark, d):
-    w = Window.partitionBy("base").orderBy("doc_id")
+    """Names from sources: the n-th document of a source gets its number, in order of ids."""
     docs = table(spark, d, "documents").select("doc_id", T.safe_name(F.concat("source", F.lit(".txt"))).alias("base"))
-    n = F.row_number().over(w)
-    return docs.withColumn("n", n).select("doc_id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat(F.regexp_replace("base", r"\.txt$", ""), F.lit(" ("), F.col("n"), F.lit(").txt"))).alias("name"))
+    docs = number_within(docs, "base", "doc_id")
+    return docs.select("doc_id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat(F.regexp_replace("base", r"\.txt$", ""), F.lit(" ("), F.col("n"), F.lit(").txt"))).alias("name"))
 
 
 def injection_scan(spark, d):
@@ -142,11 +156,12 @@ ORACLE = {
     "rrf_fusion": f"""{_BASE}, {_QTERM}, {_BM25}, {_COV},
 c2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY coverage DESC, id) - 1 AS rank FROM cov)
 SELECT qid, id, round(sum(part), 9) AS fused FROM (SELECT qid, id, 1.0 / (20 + rank) AS part FROM ranked WHERE rank < 24 UNION ALL SELECT qid, id, 0.6 / (20 + rank) FROM c2 WHERE rank < 24) GROUP BY qid, id""",
-    "char_ngram_topk": f"""WITH ws AS (SELECT item_id AS id, ' ' || unnest({T.tokens_sql('text')}) || ' ' AS w FROM benchmark),
-g AS (SELECT id, gram, count(*) AS tf FROM (SELECT id, {_GRAMS} AS gram FROM ws) GROUP BY id, gram),
-v AS (SELECT id, gram, (1 + ln(tf)) * (ln(((SELECT count(*) FROM benchmark) + 1) / (count(*) OVER (PARTITION BY gram) + 1)) + 1) AS v FROM g),
-n AS (SELECT id, sqrt(sum(v * v)) AS n FROM v GROUP BY id),
-s AS (SELECT a.id AS qid, b.id AS id, round(sum(a.v * b.v) / (max(na.n) * max(nb.n)), 6) AS score FROM v a JOIN v b USING (gram) JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id GROUP BY a.id, b.id)
+    "char_ngram_topk": f"""WITH ws AS (SELECT 0 AS q, doc_id AS id, ' ' || unnest({T.tokens_sql('text')}) || ' ' AS w FROM documents UNION ALL SELECT 1, item_id, ' ' || unnest({T.tokens_sql('text')}) || ' ' FROM benchmark),
+g AS (SELECT q, id, gram, count(*) AS tf FROM (SELECT q, id, {_GRAMS} AS gram FROM ws) GROUP BY q, id, gram),
+i AS (SELECT gram, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) + 1 AS idf FROM g WHERE q = 0 GROUP BY gram),
+v AS (SELECT q, id, gram, (1 + ln(tf)) * idf AS v FROM g JOIN i USING (gram)),
+n AS (SELECT q, id, sqrt(sum(v * v)) AS n FROM v GROUP BY q, id),
+s AS (SELECT a.id AS qid, b.id AS id, round(sum(a.v * b.v) / (max(na.n) * max(nb.n)), 6) AS score FROM (SELECT * FROM v WHERE q = 1) a JOIN (SELECT * FROM v WHERE q = 0) b USING (gram) JOIN n na ON na.q = 1 AND na.id = a.id JOIN n nb ON nb.q = 0 AND nb.id = b.id GROUP BY a.id, b.id)
 SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank FROM s) WHERE rank < 3""",
     "dense_topk": """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 s AS (SELECT q.id AS qid, v.id AS id, round(list_cosine_similarity(v.v, q.v), 6) AS score FROM v, v q WHERE q.id % 50 = 0 AND q.id != v.id)
@@ -160,7 +175,7 @@ SELECT item_id, doc_id FROM q, p WHERE length(q.f) >= 8 AND contains(p.f, q.f)""
     "injection_scan": f"""WITH a AS (SELECT 'conversation' AS kind, text FROM conversations UNION ALL SELECT 'document', text FROM documents)
 SELECT kind, count(*) AS n, CAST(sum(CASE WHEN regexp_matches(text, '{_RE2_INJECTION}') THEN 1 ELSE 0 END) AS BIGINT) AS n_injections FROM a GROUP BY kind""",
     "negations": f"""WITH t AS (SELECT doc_id, lower(text) AS x FROM documents)
-SELECT doc_id, CAST(len([w for w in regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_'']+') if w IN ({", ".join("'" + w.replace("'", "''") + "'" for w in T.NEGATION_WORDS)})]) + len(regexp_extract_all(x, '\\b(failed|fails) to\\b')) AS BIGINT) AS n_negations FROM t""",
+SELECT doc_id, CAST(len([w for w in regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_'']+') if w IN ({", ".join("'" + w + "'" for w in T.NEGATIVE_WORDS)}) OR ends_with(w, 'n''t')]) + len(regexp_extract_all(x, '\\b(failed|fails) to\\b')) AS BIGINT) AS n_negations FROM t""",
     "partial_date_order": """WITH o AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN substr(day, 1, 4) WHEN o_orderkey % 3 = 1 THEN substr(day, 1, 7) ELSE day END AS partial, day FROM (SELECT o_orderkey, substr(CAST(o_orderdate AS VARCHAR), 1, 10) AS day FROM orders))
 SELECT partial, count(*) AS n, CAST(sum(CASE WHEN starts_with(day, partial) OR starts_with(partial, day) THEN 1 ELSE 0 END) AS BIGINT) AS n_compatible, partial || CASE length(partial) WHEN 4 THEN '-01-01' WHEN 7 THEN '-01' ELSE '' END AS sort_key FROM o GROUP BY partial""",
     "followup_context": f"""WITH c AS (SELECT conv_id, turn, text, {_PREV} AS prev, len(list_distinct([t for t in {T.tokens_sql('text')} if t NOT IN ({T.stop_sql(T.QUESTION_FILLER)}) AND (length(t) > 1 OR regexp_matches(t, '^[0-9]$'))])) AS n_terms FROM conversations WHERE role = 'user'),
