@@ -55,13 +55,11 @@ def index(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Words are counted per passage first and stemmed as a vocabulary, so a word is stemmed once and not at each place.
     """
-    tok = F.explode(T.tokenize(F.col("t"))).alias("tok")
-    words = passages.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).select("id", tok).where(T.is_content(F.col("tok")))
-    words = graph.cut(words.groupBy("id", "tok").agg(F.count("*").alias("n")))
+    held = passages.select(F.col(id_col).alias("id"), F.filter(T.tokenize(F.col(text_col)), lambda t: T.is_content(t)).alias("toks"))
+    words = held.select("id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("tok"))
+    words = graph.cut(words.groupBy("id", "dl", "tok").agg(F.count("*").alias("n")))
     stems = words.select("tok").distinct().withColumn("term", T.stem(F.col("tok")))
-    counted = words.join(stems, "tok").groupBy("id", "term").agg(F.sum("n").alias("tf"))
-    lengths = words.groupBy("id").agg(F.sum("n").alias("dl"))
-    return graph.cut(counted.join(lengths, "id"))
+    return graph.cut(words.join(stems, "tok").groupBy("id", "dl", "term").agg(F.sum("n").alias("tf")))
 
 
 def query_terms(questions: DataFrame, id_col: str, text_col: str) -> DataFrame:

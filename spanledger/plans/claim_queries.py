@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from spanledger.functions import text as T
-from spanledger.operators import answers, graph, positions as P, retrieval as R
+from spanledger.operators import answers, conflicts, graph, passages, positions as P, retrieval as R
 from spanledger.session import table
 
 DAY = "1997-06-30"
@@ -134,7 +134,44 @@ def casefile_stats(spark, d):
     return j.groupBy("lang").agg(F.count("*").alias("n_documents"), F.count("quality").alias("n_reviewed"), F.sum(F.coalesce((F.col("quality") == 0).cast("long"), F.lit(0))).alias("n_unreadable"), F.sum(F.when(T.addresses_ai(F.col("text")), 1).otherwise(0)).alias("n_injections"), F.sum("n_chars").alias("n_chars"))
 
 
-QUERIES = [claim_conflicts, disputed_points, likely_current, as_of_snapshot, timeline_introduces, corroboration, supersession_pairs, board_edges, compare_suppliers, documents_as_of, values_equal_matrix, conflict_components, evidence_greedy, confidence_levels, status_machine, ingest_windows, retention_purge, cache_misses, casefile_stats]
+def rendered_documents(spark, d):
+    """Three dated documents for each supplier that state its account's credit limit; for every third one the amendment differs."""
+    v = (1000 + F.abs(F.col("s_acctbal")).cast("int")).alias("v")
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), v)
+    limit = lambda v: F.concat(F.lit("credit limit of account Acme"), F.translate(F.lpad(F.col("k").cast("string"), 7, "0"), "0123456789", "abcdefghij"), F.lit(" is $"), F.format_number(v, 0))
+    changed = F.col("v") + F.when(F.col("k") % 3 == 0, 900).otherwise(0)
+    kinds = F.array(
+        F.struct(F.lit("contract_").alias("name"), F.lit(".txt").alias("end"), F.lit("2023-01-01").alias("day"), F.concat(F.lit("The "), limit(F.col("v")), F.lit(".")).alias("text")),
+        F.struct(F.lit("amendment_").alias("name"), F.lit(".txt").alias("end"), F.lit("2024-01-15").alias("day"), F.concat(F.lit("The "), limit(changed), F.lit(" as amended.")).alias("text")),
+        F.struct(F.lit("email_").alias("name"), F.lit(".eml").alias("end"), F.lit("2024-02-02").alias("day"), F.concat(F.lit("Reminder that the "), limit(F.col("v")), F.lit(".")).alias("text")),
+    )
+    x = s.select("k", F.explode(kinds).alias("x"))
+    name = F.concat("x.name", F.col("k").cast("string"), "x.end")
+    return x.select(name.alias("doc_id"), name.alias("name"), "x.day", "x.text", F.lit(None).cast("double").alias("ocr_conf"))
+
+
+def _rendered_scan(spark, d):
+    docs = rendered_documents(spark, d)
+    return conflicts.scan(passages.claims(passages.chunks(passages.one_page(docs, "doc_id", "text"))), docs)
+
+
+def rendered_conflicts(spark, d):
+    """Conflicts between the claims of rendered documents: passages, claims, candidate pairs, value tests."""
+    f = _rendered_scan(spark, d)
+    account = F.regexp_extract("sentence_a", "account ([A-Za-z]+)", 1)
+    return f.select(account.alias("account"), "doc_name_a", "doc_name_b", "value_kind", "value_a", "value_b", "severity", "same_document")
+
+
+def rendered_disputes(spark, d):
+    """Disputed points of rendered documents and the value that likely holds."""
+    points, src = conflicts.disputed_points(_rendered_scan(spark, d))
+    account = src.groupBy("topic").agg(F.first(F.regexp_extract("sentence", "account ([A-Za-z]+)", 1)).alias("account"))
+    now = P.likely_current(P.positions(src)).select("topic", "value", "basis")
+    out = points.join(account, "topic").join(now, "topic")
+    return out.select("account", "n_positions", "n_sources", "value_kind", "severity", "value", "basis")
+
+
+QUERIES = [rendered_conflicts, rendered_disputes, claim_conflicts, disputed_points, likely_current, as_of_snapshot, timeline_introduces, corroboration, supersession_pairs, board_edges, compare_suppliers, documents_as_of, values_equal_matrix, conflict_components, evidence_greedy, confidence_levels, status_machine, ingest_windows, retention_purge, cache_misses, casefile_stats]
 
 _S = "WITH src AS (SELECT l_partkey AS topic, CAST(CAST(round(l_discount * 100) AS INTEGER) AS VARCHAR) || '%' AS value, l_orderkey AS source, strftime(l_shipdate, '%Y-%m-%d') AS day, l_linestatus = 'F' AS formal, l_returnflag = 'R' AS amends, l_suppkey FROM lineitem)"
 
@@ -157,7 +194,13 @@ from spanledger.plans import text_queries as _t  # noqa: E402
 
 _COVERAGE = f"{_t._BASE}, {_t._QTERM}, {_t._COV}"
 
+_R = """WITH r AS (SELECT s_suppkey AS k, 'Acme' || translate(lpad(CAST(s_suppkey AS VARCHAR), 7, '0'), '0123456789', 'abcdefghij') AS account, 1000 + CAST(trunc(abs(s_acctbal)) AS INTEGER) AS v FROM supplier),
+x AS (SELECT k, account, '$' || format('{:,}', v) AS old, '$' || format('{:,}', v + 900) AS new FROM r WHERE k % 3 = 0 AND 900 > 0.01 * (v + 900))"""
+
 ORACLE = {
+    "rendered_conflicts": f"""{_R} SELECT account, 'contract_' || k || '.txt' AS doc_name_a, 'amendment_' || k || '.txt' AS doc_name_b, 'money' AS value_kind, old AS value_a, new AS value_b, 'high' AS severity, false AS same_document FROM x
+UNION ALL SELECT account, 'amendment_' || k || '.txt', 'email_' || k || '.eml', 'money', new, old, 'high', false FROM x""",
+    "rendered_disputes": f"{_R} SELECT account, CAST(2 AS BIGINT) AS n_positions, CAST(3 AS BIGINT) AS n_sources, 'money' AS value_kind, 'high' AS severity, new AS value, 'amendment' AS basis FROM x",
     "claim_conflicts": f"{_S}, v AS (SELECT topic, value, count(*) AS n FROM src GROUP BY topic, value) SELECT topic, CAST(sum(n) AS BIGINT) AS n_statements, count(*) AS n_values, CAST((sum(n) * sum(n) - sum(n * n)) / 2 AS BIGINT) AS n_conflicts FROM v GROUP BY topic",
     "disputed_points": f"{_S}, {_pos('src')} SELECT topic, value, CAST(place AS INTEGER) AS place, n_statements, n_sources, oldest, newest, formal_newest, amends FROM pos WHERE n_positions > 1",
     "likely_current": f"{_S}, {_pos('src')}, {_cur()} SELECT * FROM cur",
@@ -186,10 +229,6 @@ SELECT *, CASE WHEN right_value IS NULL THEN 'only_left' WHEN left_value IS NULL
 SELECT *, CASE WHEN day IS NULL THEN 'undated' WHEN day || '-01' > '{DAY}' THEN 'later' END AS reason, coalesce(day || '-01' <= '{DAY}', false) AS used FROM o""",
     "values_equal_matrix": """WITH a AS (SELECT p_partkey, p_retailprice AS a, p_retailprice * (1 + (p_partkey % 11) / 200) AS b, kind FROM part, (VALUES ('money'), ('duration'), ('percent'), ('number')) k(kind))
 SELECT p_partkey, kind, CASE kind WHEN 'percent' THEN abs(a - b) <= 0.05 ELSE abs(a - b) <= CASE kind WHEN 'money' THEN 0.01 WHEN 'duration' THEN 0.03 ELSE 0.005 END * greatest(abs(a), abs(b), 1e-9) END AS equal FROM a""",
-    "conflict_components": f"""{_S}, c AS (SELECT source AS a, lead(source) OVER (PARTITION BY topic, substr(day, 1, 7) ORDER BY value, source) AS b FROM src),
-e AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM c WHERE b IS NOT NULL AND a != b UNION ALL SELECT b, a FROM c WHERE b IS NOT NULL AND a != b)),
-n AS (SELECT DISTINCT a AS id FROM e)
-SELECT 1 WHERE false""",
     "evidence_greedy": f"""{_COVERAGE},
 known AS (SELECT qid, term, idf, max(idf) OVER (PARTITION BY qid) AS highest FROM q_terms JOIN dfs USING (term) WHERE term NOT IN ({", ".join("'" + w + "'" for w in R.GENERIC)})),
 anchor AS (SELECT qid, term FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY idf DESC, term) AS nth FROM known WHERE idf >= 0.75 * highest) WHERE nth <= 2),
@@ -211,4 +250,3 @@ SELECT qid, confidence, CASE WHEN confidence < 0.4 THEN 'INSUFFICIENT' WHEN conf
     "casefile_stats": f"""SELECT lang, count(*) AS n_documents, count(quality) AS n_reviewed, CAST(sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_unreadable, CAST(sum(CASE WHEN regexp_matches(text, '{_t._RE2_INJECTION}') THEN 1 ELSE 0 END) AS BIGINT) AS n_injections, CAST(sum(n_chars) AS BIGINT) AS n_chars
 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""",
 }
-del ORACLE["conflict_components"]  # an iteration to a fixed point; tests hold it against union-find

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanledger.functions import text as T
-from spanledger.operators import answers, conflicts, positions
+from spanledger.operators import analysis as A
+from spanledger.operators import answers, conflicts, graph, positions
 from spanledger.operators import retrieval as R
 from spanledger.streaming import ingest
 
@@ -49,27 +50,47 @@ class Workspace:
         _, sources = self.conflicts()
         return positions.introduces(sources) if day is None else positions.as_of(sources, day)
 
-    def search(self, questions: DataFrame, as_of: str | None = None, k: int = 8) -> DataFrame:
+    def _passages(self, as_of: str | None) -> DataFrame:
+        return self._table("passages").join(self._scope(as_of).select("doc_id"), "doc_id", "left_semi").withColumn("pid", F.concat_ws(":", "doc_id", "idx"))
+
+    def search(self, questions: DataFrame, as_of: str | None = None, k: int = 8, postings: DataFrame | None = None) -> DataFrame:
         """``questions``: question_id, question. Passages by fused BM25 and character n-gram ranks, with relevance."""
-        p = self._table("passages").join(self._scope(as_of).select("doc_id"), "doc_id", "left_semi").withColumn("pid", F.concat_ws(":", "doc_id", "idx"))
+        p = self._passages(as_of)
         args = (p, "pid", "text", questions, "question_id", "question")
-        lexical, gram = R.bm25(*args, synonyms=True), R.char_ngram(*args)
+        postings = R.index(p, "pid", "text") if postings is None else postings
+        lexical, gram = R.bm25(*args, synonyms=True, postings=postings), R.char_ngram(*args)
         fused = R.top(R.fuse([(lexical, 1.0), (gram, 0.6)]).withColumnRenamed("fused", "score"), k)
-        cov = R.coverage(*args)
+        cov = R.coverage(*args, postings=postings)
         both = fused.join(cov, ["qid", "id"], "left").join(gram.select("qid", "id", F.col("score").alias("char")), ["qid", "id"], "left")
         both = both.withColumn("coverage", F.coalesce("coverage", F.lit(0.0))).withColumn("relevance", R.relevance(F.col("coverage"), F.coalesce("char", F.lit(0.0))))
-        return both.join(p.select(F.col("pid").alias("id"), "doc_id", "page", "start", "end", "section", "text"), "id").orderBy("qid", "rank")
+        return both.join(p.select(F.col("pid").alias("id"), "doc_id", "idx", "page", "start", "end", "section", "text"), "id").orderBy("qid", "rank")
 
     def ask(self, questions: DataFrame, as_of: str | None = None) -> DataFrame:
-        """Level, confidence and best passages of every question; texts that address an AI are no evidence."""
-        hits = self.search(questions, as_of).where(~T.addresses_ai(F.col("text")))
-        c = hits.select("qid", F.col("doc_id").alias("doc"), F.col("id").alias("sentence_id"), F.md5("text").alias("norm"), (0.7 * F.col("coverage") + 0.3 / (1 + F.col("rank"))).alias("score"), F.lit(True).alias("anchored"), "coverage", "relevance", "text")
-        e = answers.select_evidence(c)
-        g = e.groupBy("qid").agg(F.max("coverage").alias("best"), F.max("relevance").alias("rel"), F.count_distinct(F.when(F.col("coverage") >= 0.5, F.col("doc"))).alias("docs"), F.sort_array(F.collect_list(F.struct("place", "doc", "text"))).alias("evidence"))
-        g = g.withColumn("confidence", F.round(answers.answer_confidence(F.col("best"), F.col("best"), F.col("rel"), F.col("docs"), F.lit(0.0)), 3))
-        out = questions.select(F.col("question_id").alias("qid"), "question").join(g, "qid", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
-        status = F.when(F.col("confidence") < answers.ABSTAIN, "insufficient").otherwise("answered")
-        return out.select("qid", "question", status.alias("status"), answers.level(status, F.col("confidence")).alias("level"), "confidence", "evidence")
+        """Status, level, confidence, evidence, disputes and missing terms of every question.
+
+        Passages that address an AI are no evidence. A dispute that the evidence touches is reported, never decided.
+        """
+        p = self._passages(as_of)
+        postings = R.index(p, "pid", "text")
+        terms = R.query_terms(questions, "question_id", "question")
+        known = graph.cut(R.known_terms(postings, R.count_of(p), terms))
+        asked = A.analyse(questions.select(F.col("question_id").alias("qid"), "question"), "question")
+        kinds = self._table("claims").select("doc_id", "idx", F.explode("quantities").alias("q")).groupBy("doc_id", "idx").agg(F.collect_set("q.kind").alias("kinds"))
+        hits = self.search(questions, as_of, postings=postings).where(~T.addresses_ai(F.col("text")))
+        hits = hits.join(asked.drop("question"), "qid").join(kinds, ["doc_id", "idx"], "left").join(R.anchored(postings, known).withColumn("anchored", F.lit(True)), ["qid", "id"], "left")
+        gain = A.bonus(F.col("wants"), F.col("strict"), F.coalesce("kinds", F.array().cast("array<string>")), F.col("periods"), F.col("text"))
+        c = hits.select("qid", F.col("doc_id").alias("doc"), F.col("id").alias("sentence_id"), F.md5(F.lower(T.normalize_ws(F.col("text"))).cast("binary")).alias("norm"), (0.7 * F.col("coverage") + 0.3 / (1 + F.col("rank")) + gain).alias("score"), F.coalesce("anchored", F.lit(False)).alias("anchored"), "coverage", "relevance", "page", "start", "end", "text")
+        e = graph.cut(answers.select_evidence(c))
+        points, sources = self.conflicts(as_of)
+        told = A.relevant_disputes(e, asked, known, sources, points)
+        told = told.groupBy("qid").agg(F.max("coverage").alias("disputed"), F.sort_array(F.collect_list(F.struct("topic", "values"))).alias("disputes"))
+        gone = A.missing_terms(terms, A.known_with_substitutes(postings, terms))
+        g = e.groupBy("qid").agg(F.max("coverage").alias("best"), F.max("relevance").alias("rel"), F.count_distinct(F.when(F.col("coverage") >= 0.5, F.col("doc"))).alias("docs"), F.sort_array(F.collect_list(F.struct("place", "doc", "page", "start", "end", "text"))).alias("evidence"))
+        out = asked.select("qid", "question").join(g, "qid", "left").join(told, "qid", "left").join(gone, "qid", "left")
+        sure = answers.answer_confidence(F.col("best"), F.col("best"), F.col("rel"), F.col("docs"), F.coalesce("share", F.lit(0.0)))
+        out = out.withColumn("confidence", F.round(F.when(F.col("disputes").isNotNull(), answers.conflict_confidence(F.lit(1.0), F.col("disputed"), F.lit(False))).otherwise(F.coalesce(sure, F.lit(0.0))), 3))
+        status = F.when(F.col("disputes").isNotNull(), "conflict").when(F.col("confidence") < answers.ABSTAIN, "insufficient").otherwise("answered")
+        return out.select("qid", "question", status.alias("status"), answers.level(status, F.col("confidence")).alias("level"), "confidence", "evidence", "disputes", "missing")
 
     def compare(self, left: str, right: str) -> DataFrame:
         """Disputed points between two documents."""

@@ -17,6 +17,12 @@ def test_stream_ingest_once(spark, tmp_path):
     q = spark.createDataFrame([("q1", "When are invoices payable?"), ("q2", "What is the colour of the whale?")], "question_id string, question string")
     got = {r["qid"]: r["status"] for r in ws.ask(q).collect()}
     assert got == {"q1": "answered", "q2": "insufficient"}
+    (inbox / "amendment_2024-01-15.txt").write_text("Invoices are payable Net 45 from the invoice date, as amended.")
+    ws.ingest(str(inbox))
+    q = spark.createDataFrame([("q1", "On which terms are invoices payable?"), ("q2", "What is the colour of the whale?")], "question_id string, question string")
+    told = {r["qid"]: r for r in ws.ask(q).collect()}
+    assert told["q1"]["status"] == "conflict" and told["q1"]["level"] == "CONFLICTED" and told["q1"]["disputes"][0]["values"] == ["Net 30", "Net 45"]
+    assert told["q2"]["status"] == "insufficient" and told["q2"]["disputes"] is None and "whal" in told["q2"]["missing"][-1]
     doc = ws.documents().where("name like 'contract%'").first()
     assert doc["day"] == "2023-01-01"
     c = spark.createDataFrame([(doc["doc_id"], 1, 0, 8, "Invoices"), (doc["doc_id"], 1, 0, 8, "Invoicez")], "doc_id string, page int, start int, end int, quote string")
