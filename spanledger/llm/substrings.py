@@ -262,7 +262,7 @@ def with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) ->
 def kept_words(text: str | None, spans: list[dict] | None) -> tuple[int, list[bytes]]:
     """How many words a text has, and those outside its verified spans."""
     words = (text or "").encode().split()
-    if not spans:
+    if spans is None or not len(spans):
         return len(words), words
     return len(words), list(itertools.compress(words, kept_mask(len(words), *verified(words, spans))))
 

@@ -251,7 +251,7 @@ def test_probes_are_no_more_than_the_choices():
 def test_spans_without_their_sources_words_stay():
     words = [b"a", b"b", b"c", b"d"]
     right, wrong = {"start": 0, "stop": 2, "digest": substrings.words_digest(words[:2])}, {"start": 2, "stop": 4, "digest": substrings.words_digest(words[:2])}
-    assert substrings.kept_words("a b  c d", [right, wrong]) == (4, [b"c", b"d"]) and substrings.kept_words(None, None) == (0, [])
+    assert substrings.kept_words("a b  c d", [right, wrong]) == (4, [b"c", b"d"]) == substrings.kept_words("a b c d", np.array([right, wrong])) and substrings.kept_words(None, None) == (0, [])
 
 
 @pytest.mark.parametrize("run", [
