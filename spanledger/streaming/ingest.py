@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanledger.operators import passages
+from spanledger.operators import graph, passages
 from spanledger.sources import formats
 
 STAGES = {"UPLOADED": 5, "PROCESSING": 8, "EXTRACTING": 20, "OCR": 35, "CHUNKING": 55, "EMBEDDING": 72, "INDEXING": 90, "READY": 100, "FAILED": 100}
@@ -34,18 +34,15 @@ def store_batch(files: DataFrame, root: str, workspace: str) -> None:
     if old is not None:
         known = old.where((F.col("workspace_id") == workspace) & (F.col("status") != "FAILED")).select("sha256")
         docs = docs.join(known, "sha256", "left_anti")
-    docs = docs.withColumn("workspace_id", F.lit(workspace)).persist()
-    try:
-        put = lambda df, name: df.withColumn("workspace_id", F.lit(workspace)).write.mode("append").partitionBy("workspace_id").parquet(f"{root}/{name}")
-        put(docs, "documents")
-        chunks = passages.chunks(docs.where("status = 'READY'")).persist()
-        put(chunks, "passages")
-        put(passages.claims(chunks), "claims")
-        stages = F.when(F.col("status") == "READY", F.array(*[F.lit(s) for s in ("UPLOADED", "EXTRACTING", "CHUNKING", "INDEXING", "READY")])).otherwise(F.array(F.lit("UPLOADED"), F.lit("EXTRACTING"), F.lit("FAILED")))
-        put(docs.select("doc_id", F.posexplode(stages).alias("step", "stage"), F.current_timestamp().alias("ts")), "status")
-        chunks.unpersist()
-    finally:
-        docs.unpersist()
+    # materialised: a cached plan that reads the stored documents would be evaluated again once they are written
+    docs = graph.cut(docs.withColumn("workspace_id", F.lit(workspace)))
+    put = lambda df, name: df.withColumn("workspace_id", F.lit(workspace)).write.mode("append").partitionBy("workspace_id").parquet(f"{root}/{name}")
+    chunks = graph.cut(passages.chunks(docs.where("status = 'READY'")))
+    put(docs, "documents")
+    put(chunks, "passages")
+    put(passages.claims(chunks), "claims")
+    stages = F.when(F.col("status") == "READY", F.array(*[F.lit(s) for s in ("UPLOADED", "EXTRACTING", "CHUNKING", "INDEXING", "READY")])).otherwise(F.array(F.lit("UPLOADED"), F.lit("EXTRACTING"), F.lit("FAILED")))
+    put(docs.select("doc_id", F.posexplode(stages).alias("step", "stage"), F.current_timestamp().alias("ts")), "status")
 
 
 def ingest_stream(spark: SparkSession, inbox: str, root: str, workspace: str = "public", **trigger):
