@@ -1,8 +1,8 @@
 """Licence scans: a trained paragraph classifier with DataFrame and SQL functions only.
 
 Paragraphs are lines and blocks of lines between blank ones (a wrapped
-licence text). Those that hold one of ANCHORS or a word trigram of a template (nothing without one covers any) are turned into word
-n-grams of one to three words; a multinomial logistic regression over them, fitted on TEMPLATES and variants of them
+licence text). Those that hold one of ANCHORS or of ``key_words()`` (nothing without one can be confirmed, by its
+construction) are turned into word n-grams of one to three words; a multinomial logistic regression over them, fitted on TEMPLATES and variants of them
 against OTHER sentences, gives the licence family or ``unknown``. Probabilities are calibrated by a temperature that
 minimises the log loss on variants left out of the fit. A prediction stands only if the paragraph also covers enough
 word trigrams of one of the family's templates; else it is ``unknown``. What has no anchor is listed only if confirmed.
@@ -139,8 +139,13 @@ def _joined(ws: Column, n: int):
 
 def ngrams(ws: Column, sizes=range(1, MAX_N + 1)) -> Column:
     """Distinct word n-grams of the sizes."""
-    each = [F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), _joined(ws, n))).otherwise(F.array().cast("array<string>")) for n in sizes]
-    return F.array_distinct(F.concat(*each) if len(each) > 1 else each[0])
+
+    def of(ws: Column) -> Column:
+        each = [F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), _joined(ws, n))).otherwise(F.array().cast("array<string>")) for n in sizes]
+        return F.array_distinct(F.concat(*each) if len(each) > 1 else each[0])
+
+    # the words are bound once, as a lambda's variable: an expression put in their place would be evaluated for every n-gram
+    return F.transform(F.array(ws), of)[0]
 
 
 def anchored(text: Column) -> Column:
@@ -213,19 +218,50 @@ def logits(rows: DataFrame, model: dict, keys: list[str]) -> DataFrame:
     return sums.select(*keys, F.array(*[F.col(f"__z{k}") + F.lit(model["intercept"][k]) for k in range(n)]).alias("z"))
 
 
+def _template_words() -> list[list[str]]:
+    return [[w for w in re.split(r"[\W_]+", t.lower()) if w] for ts in TEMPLATES.values() for t in ts]
+
+
+def key_words() -> list[str]:
+    """Words of which a text has one, or an anchor, if it covers MIN_COVER of any template's trigrams.
+
+    A template gets its longest words (those that OTHER has come last), until those of its trigrams without a one-word anchor or
+    a key are a smaller share than MIN_COVER: who covers more has one of the rest. Needs no look at the documents.
+    """
+    common = {w for t in OTHER for w in re.split(r"[\W_]+", t.lower())}
+    anchors, keys = [a for a in ANCHORS if " " not in a], set()
+    for ws in _template_words():
+        grams = {tuple(ws[k : k + MAX_N]) for k in range(len(ws) - MAX_N + 1)}
+        more = sorted({w for w in ws if not any(a in w for a in anchors)}, key=lambda w: (w in common, -len(w), w))
+        while sum(not any(w in keys or any(a in w for a in anchors) for w in g) for g in grams) >= MIN_COVER * len(grams) > 0:
+            keys.add(more.pop(0))
+    return sorted(keys)
+
+
+def keyed(text: Column) -> Column:
+    """Whether the text has an anchor or one of :func:`key_words`; short ones count as whole words only."""
+    keys = key_words()
+    short = [k for k in keys if len(k) < 4]
+
+    def has(low: Column) -> Column:
+        out = F.lit(False)
+        for k in [*ANCHORS, *(k for k in keys if len(k) >= 4)]:
+            out = out | low.contains(k)
+        return out | low.rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(short) + r")(?![\p{L}\p{N}])") if short else out
+
+    return F.exists(F.array(F.lower(text)), has)  # lower-cased once, as a lambda's variable
+
+
 def near_template(text: Column) -> Column:
     """Whether the text shares a word trigram with a template: every text that covers a part of one does."""
-    grams = set()
-    for t in (t for ts in TEMPLATES.values() for t in ts):
-        ws = [w for w in re.split(r"[\W_]+", t.lower()) if w]
-        grams |= {" ".join(ws[k : k + MAX_N]) for k in range(len(ws) - MAX_N + 1)}
+    grams = {" ".join(ws[k : k + MAX_N]) for ws in _template_words() for k in range(len(ws) - MAX_N + 1)}
     known = F.array(*[F.lit(g) for g in sorted(grams)])
     # the words are bound once, as a lambda's variable
     return F.exists(F.array(words(text)), lambda ws: F.arrays_overlap(F.when(F.size(ws) >= MAX_N, F.transform(F.sequence(F.lit(1), F.size(ws) - (MAX_N - 1)), _joined(ws, MAX_N))).otherwise(F.array().cast("array<string>")), known))
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Lines and blocks (two or more lines without a blank one between) that hold an anchor or a trigram of a template.
+    """Lines and blocks (two or more lines without a blank one between) that hold an anchor or a key word.
 
     ``id``, ``paragraph`` (the line, or a block's first one, from 0), ``body``, ``whole`` (a block), ``block`` (its
     first line), ``span`` (hash of the block), ``listed`` (an anchored line).
@@ -233,14 +269,15 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     cut = F.split(F.col(text_col), r"(?<=\n)(?=[ \t\r\f\x0b]*\n)")  # a blank line begins the next piece; all characters stay
     pieces = F.transform(cut, lambda x, k: F.struct(k.alias("k"), x.alias("x")))
     breaks = F.transform(cut, lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))
-    found = docs.select(F.col(id_col).alias("id"), breaks.alias("breaks"), F.explode(F.filter(pieces, lambda p: anchored(p["x"]) | near_template(p["x"]))).alias("p"))
+    docs = docs.where(keyed(F.col(text_col)))  # all that follows sees only texts that may hold a licence
+    found = docs.select(F.col(id_col).alias("id"), breaks.alias("breaks"), F.explode(F.filter(pieces, lambda p: keyed(p["x"]))).alias("p"))
     first = F.aggregate(F.slice("breaks", F.lit(1), F.col("p.k")), F.lit(0), lambda a, x: a + x)
     blocks = found.select("id", F.col("p.x").alias("x"), first.alias("first"), F.xxhash64("p.x").alias("span"))
     # a piece that begins with a blank line has its block one line later
     lead = F.when(F.col("x").rlike(r"^[ \t\r\f\x0b]*\n"), 1).otherwise(0)
     blocks = blocks.withColumn("block", F.col("first") + lead)
     lines = blocks.select("id", "first", "block", "span", F.posexplode(F.split("x", "\n")).alias("k", "body"))
-    lines = lines.withColumn("listed", anchored(F.col("body"))).where(F.col("listed") | near_template(F.col("body")))
+    lines = lines.where(keyed(F.col("body"))).withColumn("listed", anchored(F.col("body"))).where(F.col("listed") | near_template(F.col("body")))
     lines = lines.select("id", (F.col("first") + F.col("k")).alias("paragraph"), "body", F.lit(False).alias("whole"), "block", "span", "listed")
     several = F.size(F.filter(F.split("x", "\n"), lambda x: F.trim(x) != "")) > 1
     return lines.unionByName(blocks.where(several).select("id", F.col("block").alias("paragraph"), F.col("x").alias("body"), F.lit(True).alias("whole"), "block", "span", F.lit(False).alias("listed")))

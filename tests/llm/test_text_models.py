@@ -161,6 +161,15 @@ def test_templates_have_anchors():
     assert all(any(a in t.lower() for a in licences.ANCHORS) for ts in licences.TEMPLATES.values() for t in ts)
 
 
+def test_key_words_lose_nothing():
+    """Every choice of MIN_COVER of a template's trigrams has an anchor or a key: those without are fewer."""
+    keys, anchors = set(licences.key_words()), [a for a in licences.ANCHORS if " " not in a]
+    for ws in licences._template_words():
+        grams = {tuple(ws[k : k + 3]) for k in range(len(ws) - 2)}
+        without = [g for g in grams if not any(w in keys or any(a in w for a in anchors) for w in g)]
+        assert not grams or len(without) / len(grams) < licences.MIN_COVER
+
+
 def test_licences(spark):
     m = licences.fit(spark)
     lines = [(k, t) for k, t in enumerate(x for ts in licences.TEMPLATES.values() for x in ts)]
@@ -177,7 +186,7 @@ def test_licences(spark):
 def test_wrapped_and_anchorless_licences(spark):
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met."
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal\nin the Software without restriction."
-    rows = [(1, bsd), (2, "Prose here.\n\n \n" + mit + "\n\nMore prose."), (3, "Plain words.\nText available under CC BY 4.0.\nMore words."), (4, "Nothing of the kind.\nNo more."), (5, "Prose.\nReleased under the MIT License.\nProse.")]
+    rows = [(1, bsd), (2, "Prose here.\n\n \n" + mit + "\n\nMore prose."), (3, "Plain words.\nText available under CC BY 4.0.\nMore words."), (4, "Nothing of the kind.\nNo more."), (5, "Prose.\nReleased under the MIT License.\nProse."), (6, "Prose.\nUniversal access (CC) was an accident of the account."), (7, None), (8, "")]
     got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), licences.fit(spark)).where("confirmed").collect()
     assert sorted((r["id"], r["paragraph"], r["family"]) for r in got) == [(1, 0, "BSD"), (2, 3, "MIT"), (3, 1, "CC-BY-4.0"), (5, 1, "MIT")]
 
