@@ -23,6 +23,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanledger.llm.scratch import Scratch
+
 # Wordings by which works name their licence.
 TEMPLATES = {
     "MIT": [
@@ -276,21 +278,26 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # a piece that begins with a blank line has its block one line later
     lead = F.when(F.col("x").rlike(r"^[ \t\r\f\x0b]*\n"), 1).otherwise(0)
     blocks = blocks.withColumn("block", F.col("first") + lead)
-    lines = blocks.select("id", "first", "block", "span", F.posexplode(F.split("x", "\n")).alias("k", "body"))
-    lines = lines.where(keyed(F.col("body"))).withColumn("listed", anchored(F.col("body"))).where(F.col("listed") | near_template(F.col("body")))
-    lines = lines.select("id", (F.col("first") + F.col("k")).alias("paragraph"), "body", F.lit(False).alias("whole"), "block", "span", "listed")
+    lines = F.transform(F.split("x", "\n"), lambda x, k: F.struct((F.col("first") + k).alias("paragraph"), x.alias("body"), F.lit(False).alias("whole")))
     several = F.size(F.filter(F.split("x", "\n"), lambda x: F.trim(x) != "")) > 1
-    return lines.unionByName(blocks.where(several).select("id", F.col("block").alias("paragraph"), F.col("x").alias("body"), F.lit(True).alias("whole"), "block", "span", F.lit(False).alias("listed")))
+    whole = F.array(F.struct(F.col("block").alias("paragraph"), F.col("x").alias("body"), F.lit(True).alias("whole")))
+    each = F.concat(F.filter(lines, lambda p: keyed(p["body"])), F.when(several, whole).otherwise(F.slice(whole, 1, 0)))
+    each = blocks.select("id", "block", "span", F.explode(each).alias("p")).select("id", "p.*", "block", "span")
+    each = each.withColumn("listed", ~F.col("whole") & anchored(F.col("body")))
+    return each.where(F.col("whole") | F.col("listed") | near_template(F.col("body")))
 
 
-def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """``id``, ``paragraph``, ``family``, ``probability``, ``cover``, ``confirmed`` of every anchored line and of all that is confirmed.
 
+    The candidate paragraphs are a table of ``scratch`` (by default one of its own in the shared folder).
     A block counts when none of its lines is confirmed for its family; it then stands in the place of its first line.
     """
     spark = docs.sparkSession
-    rows = paragraphs(docs, id_col, text_col).withColumn("body", F.array_join(words(F.col("body")), " ")).withColumn("ws", F.split("body", " "))
-    rows = rows.withColumn("grams", ngrams(F.col("ws"))).withColumn("mark", F.xxhash64("body")).drop("body", "ws")
+    rows = paragraphs(docs, id_col, text_col).withColumn("body", F.array_join(words(F.col("body")), " "))
+    # written once: several joins below start from these few paragraphs, and each would read all documents again
+    rows = (scratch or Scratch(spark, "licences")).write(rows, "paragraphs")
+    rows = rows.withColumn("grams", ngrams(F.split("body", " "))).withColumn("mark", F.xxhash64("body")).drop("body")
     keys = ["id", "paragraph", "mark", "whole", "block", "span", "listed"]
     p = logits(rows, model, keys).withColumn("p", softmax(F.col("z"), model["temperature"]))
     best = F.array_position("p", F.array_max("p")).cast("int")
