@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import attach
+from .scratch import Scratch
+from .skew import HEAVY_SHARE
 
 #: Units up to this size are paired together, by distance in the sorted stretch; larger ones by matrix tiles.
 SMALL = 48
@@ -24,17 +25,28 @@ STRETCH = 1 << 15
 LINK_SCHEMA = "a long, b long, links long"
 
 
-def work_units(entries: DataFrame, block: int) -> DataFrame:
-    """``entries``: ``key`` long, ``id`` long and payload columns. Adds ``lo``, ``hi`` (blocks) and ``mine``."""
-    sizes = entries.groupBy("key").agg(F.count("*").alias("__size")).where("__size > 1").withColumn("size", F.col("__size"))
-    return spread(attach(entries, "key", sizes, "size", entries.count(), "__size").where("size is not null"), block)
+def work_units(entries: DataFrame, block: int, scratch: Scratch, total: int | None = None) -> DataFrame:
+    """``entries``: ``key`` long, ``id`` long and payload columns. Adds ``lo``, ``hi`` (blocks) and ``mine``.
+
+    Rows alone under their key have no pair and go. Keys of at least ``total / HEAVY_SHARE`` of the ``total`` rows, at
+    most HEAVY_SHARE of them, are named in a filter and get their size by broadcast; no other key holds more than that
+    share of the shuffle of the rest.
+    """
+    sizes = scratch.write(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "unit-sizes")
+    least = max(2.0, (entries.count() if total is None else total) / HEAVY_SHARE)
+    large = [r["key"] for r in sizes.where(F.col("size") >= least).select("key").collect()]
+    is_large = F.col("key").isin(large)
+    sized = entries.where(~is_large).join(sizes.where(~is_large), "key") if large else entries.join(sizes, "key")
+    if large:
+        sized = sized.unionByName(entries.where(is_large).join(F.broadcast(sizes.where(is_large)), "key"))
+    return spread(sized, block)
 
 
 def spread(sized: DataFrame, block: int) -> DataFrame:
     n = F.ceil(F.col("size") / block).cast("int")
     e = sized.withColumn("__n", n).withColumn("mine", F.pmod(F.xxhash64("id", F.lit(17)), F.col("__n")).cast("int"))
     e = e.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    e = e.withColumn("lo", F.least("mine", "__o")).withColumn("hi", F.greatest("mine", "__o")).drop("__n", "__o", "__rn", "size")
+    e = e.withColumn("lo", F.least("mine", "__o")).withColumn("hi", F.greatest("mine", "__o")).drop("__n", "__o", "__size", "size")
     return e.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
 

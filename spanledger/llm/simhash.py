@@ -183,7 +183,7 @@ def linked(nodes: DataFrame, scratch: Scratch, distance: int = DISTANCE, block:
                 a, b = forest(len(t), i, j, ids)
                 yield link_batch(a, b, np.zeros(len(a), np.int64))
 
-    return scratch.write(work_units(entries, block).mapInArrow(released(run), LINK_SCHEMA).select("a", "b"), "links")
+    return scratch.write(work_units(entries, block, scratch).mapInArrow(released(run), LINK_SCHEMA).select("a", "b"), "links")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col="doc_id", text_col="text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -338,7 +338,7 @@ def near_copies(docs: DataFrame, scratch: Scratch, id_col="doc_id", text_col="te
                 yield link_batch(a, b, np.zeros(len(a), np.int64))
 
     entries = known.mapInArrow(_copy_entries(bands, width), "key long, id long, sig binary")
-    loose = scratch.write(work_units(entries, block).mapInArrow(released(candidates), LINK_SCHEMA).select("a", "b"), "copy-candidates")
+    loose = scratch.write(work_units(entries, block, scratch, known.count() * bands).mapInArrow(released(candidates), LINK_SCHEMA).select("a", "b"), "copy-candidates")
     members = connected_components(loose, scratch, "candidates").select(F.col("id").alias("__id"), F.col("component").alias("key"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -121,7 +121,7 @@ def near_duplicates(rows: DataFrame, scratch: Scratch, id_col="vec_id", vec_col=
 
     entries = nodes.where("id is not null").select("vec", "id", "members").mapInArrow(enter, "key long, id long, members long, vec binary")
     entries = scratch.write(entries, "entries")
-    found = scratch.write(work_units(entries, block).mapInArrow(verify, LINK_SCHEMA), "found")
+    found = scratch.write(work_units(entries, block, scratch).mapInArrow(verify, LINK_SCHEMA), "found")
     scratch.drop("entries")
     links = found.where("a = b").groupBy(F.col("a").alias("__lid")).agg(F.sum("links").alias("links"))
     comp = connected_components(found.where("a != b").select("a", "b"), scratch).select(F.col("id").alias("__cid"), "component")
