@@ -2,21 +2,54 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` and cut its lineage, in the checkpoint folder (a temporary one only under a local master)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: ``spark.checkpoint.dir``, else the session's own (a temporary one under a local master)."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        held = sc._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            folder = held.get()
+        elif sc.master.startswith("local"):
+            folder = "file://" + tempfile.mkdtemp(prefix="spanledger-graph-")
+            sc.setCheckpointDir(folder)
+        else:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanledger-graph-"))
-    return df.checkpoint()
+    return folder.rstrip("/")
+
+
+def delete(spark: SparkSession, uri: str) -> None:
+    """Remove a table or folder, on whatever file system it is."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and return a DataFrame that reads it; it goes when Python exits.
+
+    A plan that reads a table has nothing of the plan that made it, so a loop of such steps plans each in the same time.
+    """
+    spark = df.sparkSession
+    uri = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex[:12]}"
+    schema = df.schema
+    df.write.option("compression", "zstd").parquet(uri)
+
+    @atexit.register
+    def _gone() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended
+            delete(spark, uri)
+
+    return spark.read.schema(schema).parquet(uri)
 
 
 #: A node counts as heavy when more than this many others follow it; its row is then joined by broadcast.
@@ -38,7 +71,7 @@ def followed(p: DataFrame, tops: DataFrame) -> DataFrame:
     return few.select("id", "up", F.coalesce("top", "up").alias("top")).unionByName(many.select("id", "up", "top"))
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 40, max_steps: int = 64) -> DataFrame:
     """``a``, ``b`` to ``id``, ``component`` (smallest id).
 
     A round lets every node follow its smallest neighbour, shortens the chains to their ends, and rewrites the edges
@@ -52,19 +85,24 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         p = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("up")))
-        while True:
+        for _ in range(max_steps):
             above = p.select(F.col("id").alias("up"), F.col("up").alias("top"))
             q = cut(followed(p, above).select("id", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
             p = q.select("id", "up")
             if q.where("moved").isEmpty():
                 break
+        else:
+            raise RuntimeError(f"chains of followers have not ended after {max_steps} halvings")
         maps.append(p)
         for c in ("a", "b"):
             e = e.join(p.select(F.col("id").alias(c), F.col("up").alias("to")), c).drop(c).withColumnRenamed("to", c)
         e = cut(e.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    else:
+        if not e.isEmpty():
+            raise RuntimeError(f"components have not met after {max_rounds} rounds")
     if not maps:
         return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     out = maps[-1]
     for p in reversed(maps[:-1]):
-        out = followed(p, out.select(F.col("id").alias("up"), F.col("up").alias("top"))).select("id", F.col("top").alias("up"))
+        out = cut(followed(p, out.select(F.col("id").alias("up"), F.col("up").alias("top"))).select("id", F.col("top").alias("up")))
     return out.select("id", F.col("up").alias("component"))
