@@ -2,8 +2,9 @@
 
 Every tree gives each vector a long hash string: symbols of cross-polytope hashes (pseudo-random rotations), packed
 into one long so that strings sort as numbers and every prefix is a range. A query descends in all trees to its
-longest prefixes and the trees ascend together, one symbol at a time, until the rows under the prefixes reach the
-budget. Within the last symbol the trees ascend in the order of the query's projections on the axes of its prefix
+longest prefixes and the trees ascend together, one symbol at a time, until the other rows under the prefixes reach
+the budget; a row under the prefixes of several trees counts once, by the expected overlap of prefixes of these sizes.
+Within the last symbol the trees ascend in the order of the query's projections on the axes of its prefix
 (nearest first), so trees end at prefixes of different lengths and some are not used at all. All rows under the chosen
 prefixes are compared by their cosine in double precision: no candidate is cut off. A prefix with many rows is cut
 into blocks, each block is compared with all its queries as matrices, and only the best few of a block leave it.
@@ -11,8 +12,9 @@ Equal vectors are one node, with the smallest ids of its members.
 
 The budget of a query is FACTOR * n ** EXPONENT rows of n: it grows slower than the table. It is laid out for unrelated
 vectors, where neighbours are hardest to tell from others (recall by size: see the README); related ones need less.
-``budget=math.inf`` compares every query with every row (exact). A forest whose prefixes hold fewer rows than the
-budget, which is so below about 2,000 rows, has no choice and compares with all rows too.
+The last step of an ascent is the empty prefix, which holds all rows: it is taken where all prefixes of one symbol hold
+fewer rows than the budget (unrelated vectors: tables below about 4,000 rows). ``to_root=False`` leaves that step out
+and compares what the prefixes of one symbol hold; ``budget=math.inf`` compares every query with every row (exact).
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, nor do rows with a null id; ties go to the smaller id; a query's own row is no candidate, other rows with its id
@@ -71,7 +73,7 @@ def _cosines(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return (q * p).sum(axis=1)
 
 
-def search(rows: DataFrame, scratch: Scratch, is_query, k: int = 5, id_col="vec_id", vec_col="embedding", trees: int = TREES, depth: int = DEPTH, budget: float | None = None, seed: int = SEED) -> DataFrame:
+def search(rows: DataFrame, scratch: Scratch, is_query, k: int = 5, id_col="vec_id", vec_col="embedding", trees: int = TREES, depth: int = DEPTH, budget: float | None = None, seed: int = SEED, to_root: bool = True) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` nearest found of every row where ``is_query`` holds."""
     length = common_length(rows, vec_col)
     bits = symbol_bits(max(length, 1))
@@ -83,7 +85,8 @@ def search(rows: DataFrame, scratch: Scratch, is_query, k: int = 5, id_col="vec_
     nodes = scratch.write(nodes, "nodes")
     queries = packed.where(is_query(F.col("id"))).groupBy("id", "vec").agg(F.count("*").alias("copies")).select(F.col("id").alias("query_id"), "vec")
     queries = scratch.write(queries, "queries")
-    wanted = row_budget(nodes.count()) if budget is None else budget
+    n_nodes = nodes.count()
+    wanted = row_budget(n_nodes) if budget is None else budget
 
     def strings(name: str, asks: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +114,18 @@ def search(rows: DataFrame, scratch: Scratch, is_query, k: int = 5, id_col="vec_
     tree = scratch.write(tree, "tree")
     each = F.explode(F.array(*[F.struct(F.lit(v).alias("level"), _prefix(F.col("code"), v, depth, bits).alias("prefix"), F.col("near")[v - 1].alias("near")) for v in range(1, depth + 1)]))
     paths = asked.select("query_id", "tree", each.alias("x")).select("query_id", "tree", "x.*").join(tree, ["tree", "level", "prefix"])
-    # one symbol up in one tree adds the rows under the shorter prefix that were not under the longer one
+    # the query's own node is under all its prefixes and is no candidate; of the others a prefix holds this share
+    others = max(1, n_nodes - 1)
+    paths = paths.withColumn("lack", F.log(F.greatest(F.lit(1e-12), 1 - (F.col("n") - 1) / others)))
+    # with shares s of the prefixes, 1 - product(1 - s) of the others are under some; a step up replaces one factor
     up = Window.partitionBy("query_id", "tree").orderBy(F.desc("level"))
-    paths = paths.withColumn("gain", F.col("n") - F.coalesce(F.lag("n").over(up), F.lit(0)))
+    paths = paths.withColumn("step", F.col("lack") - F.coalesce(F.lag("lack").over(up), F.lit(0.0)))
     climb = Window.partitionBy("query_id").orderBy(F.desc("level"), F.desc("near"), "tree")  # trees x depth rows
-    paths = paths.withColumn("before", F.sum("gain").over(climb.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("gain"))
-    paths = paths.withColumn("all", F.sum("gain").over(Window.partitionBy("query_id")))
-    used = paths.where((F.col("before") < wanted) & (F.col("all") >= wanted)).groupBy("query_id", "tree").agg(F.min("level").alias("level"))
+    reached = lambda total: others * (1 - F.exp(total))
+    paths = paths.withColumn("before", reached(F.sum("step").over(climb.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("step")))
+    paths = paths.withColumn("all", reached(F.sum("step").over(Window.partitionBy("query_id"))))
+    enough = (F.col("all") >= wanted) if to_root or math.isinf(wanted) else F.lit(True)
+    used = paths.where((F.col("before") < wanted) & enough).groupBy("query_id", "tree").agg(F.min("level").alias("level"))
     chosen = scratch.write(queries.select("query_id").join(used, "query_id", "left").select("query_id", F.coalesce("tree", F.lit(0)).alias("tree"), F.coalesce("level", F.lit(0)).alias("level")), "chosen")
     # level 0 is one prefix of one tree
     node_key = lambda level, t, prefix: F.when(level == 0, F.xxhash64(F.lit(0), F.lit(0), F.lit(0).cast("long"))).otherwise(F.xxhash64(level, t, prefix))
