@@ -286,7 +286,7 @@ def manifest_sql(levels: int = 8, group_levels: int = 4) -> str:
     ctes = ["b0 AS (SELECT CAST(range AS BIGINT) AS v, CAST(range AS BIGINT) AS c FROM range(256))"]
     ctes += [f"b{k} AS (SELECT v, {step('c')} AS c FROM b{k - 1})" for k in range(1, 9)]
     ctes.append("tab AS (SELECT list(c ORDER BY v) AS t FROM b8)")
-    crc = "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), c -> CAST(ascii(c) AS BIGINT))), (a, c) -> xor(a >> 8, t[(xor(a, c) & 255) + 1])), 4294967295)"
+    crc = "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1])), 4294967295)"
     ctes.append(f"docs AS (SELECT doc_id, coalesce('=' || lang, '-') AS tree, sha256({head} || {field('text')}) AS leaf, CASE WHEN {crc} % 3 = 0 THEN sha256({head} || {field(f'translate(text, {chr(39)}{UPPER}{chr(39)}, {chr(39)}{LOWER}{chr(39)})')}) END AS claimed FROM documents, tab)")
     ctes.append("d0 AS (SELECT tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS d, doc_id, claimed, count(*) OVER (PARTITION BY tree) AS n FROM docs)")
 
