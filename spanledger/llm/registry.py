@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licences, merkle, mixing, pieces, prefix_forest, sharding, simhash, substrings, toxicity, vector_dedup, warc
+from . import hard_negatives, licences, merkle, mixing, pieces, prefix_forest, sharding, simhash, substrings, toxicity, vector_dedup, warc
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         "op8_simhash_components": simhash.op8_simhash_components,
         "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_prefix_forest": prefix_forest.op10_prefix_forest,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
         "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_warc_bundles": warc.OP1_SQL, "op6_hierarchical_mix": mixing.OP6_SQL, "op13_merkle_manifest": merkle.OP13_SQL}
+    return {"op1_warc_bundles": warc.OP1_SQL, "op6_hierarchical_mix": mixing.OP6_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL, "op13_merkle_manifest": merkle.OP13_SQL}
