@@ -104,6 +104,9 @@ def sliced(q: np.ndarray, x: np.ndarray, alive: np.ndarray, limits, few: float =
         s += weight(k) * (qk @ ((x[columns] >> k) & 1).astype(kind).T)
         left = kind(2**k - 1)
         lo, hi = s + left * below, s + left * above
+        if most >= 1 << 62 and k:  # the ends of intervals may overflow: only exact products are compared
+            k -= 1
+            continue
         least, greatest = limits(np.where(alive, lo, -np.inf if kind is not np.int64 else np.iinfo(np.int64).min), hi, alive)
         alive &= (hi >= least[:, None]) & (lo <= greatest[:, None])
         k -= 1
@@ -236,7 +239,8 @@ def negatives(rows: DataFrame, anchors: DataFrame, scratch: Scratch, length: int
             pid, score = (t.column(n).take(pa.array(q)).to_pylist() for n in ("pids", "pscores"))
             wide = max(map(len, score))
             p = np.array([s + [s[-1]] * (wide - len(s)) for s in score], np.int64)  # the last repeats: its band is there anyway
-            low, high = -((-band[0] * p) // 100), (band[1] * p) // 100
+            a, b = p // 100, p % 100  # so that no product overflows
+            low, high = band[0] * a - (-band[0] * b) // 100, band[1] * a + (band[1] * b) // 100
             meets = low <= high
             some = meets.any(axis=1)
             least, greatest = np.where(meets, low, np.iinfo(np.int64).max).min(axis=1), np.where(meets, high, np.iinfo(np.int64).min).max(axis=1)

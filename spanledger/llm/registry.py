@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hard_negatives, licences, merkle, mixing, pieces, prefix_forest, sharding, simhash, substrings, toxicity, vector_dedup, warc
+from . import hard_negatives, language, licences, merkle, mixing, pieces, prefix_forest, sharding, simhash, substrings, toxicity, vector_dedup, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_simhash_components": simhash.op8_simhash_components,
         "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_prefix_forest": prefix_forest.op10_prefix_forest,
+        "op11_language_kernels": language.op11_language_kernels,
         "op12_hard_negatives": hard_negatives.op12_hard_negatives,
         "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
