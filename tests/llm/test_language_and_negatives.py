@@ -87,7 +87,7 @@ def rows_of(df):
     return sorted(tuple(r[c] for c in ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")) for r in df.collect())
 
 
-@pytest.mark.parametrize("scale, blocks", [(0.125, (4096, 4096)), (0.125, (37, 3)), (3e5, (64, 2)), (1e6, (4096, 4096)), (6e6, (500, 9))])
+@pytest.mark.parametrize("scale, blocks", [(0.125, (4096, 4096)), (0.125, (37, 3)), (3e5, (64, 2)), (1e6, (4096, 4096)), (1.5e6, (500, 9))])
 def test_hard_negatives(spark, tmp_path, monkeypatch, scale, blocks):
     monkeypatch.setattr(hard_negatives, "ROWS", blocks[0])
     monkeypatch.setattr(hard_negatives, "ANCHORS", blocks[1])
