@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanledger.plans import claim_queries, document_queries, text_queries
+from spanledger.plans import answer_queries, claim_queries, document_queries, text_queries
 
-_MODULES = [text_queries, claim_queries, document_queries]
+_MODULES = [text_queries, claim_queries, document_queries, answer_queries]
 
 
 def queries() -> dict:
