@@ -26,6 +26,72 @@ def select_evidence(candidates: DataFrame, per_question: int = 5, per_doc: int =
     return c
 
 
+def union_coverage(evidence: DataFrame, postings: DataFrame, known: DataFrame) -> DataFrame:
+    """``qid``, ``union_cov``: the idf share of a question's known terms that its evidence (``qid``, ``id``) has together."""
+    total = known.groupBy("qid").agg(F.sum("idf").alias("total"))
+    got = evidence.join(postings.select("id", "term"), "id").join(known.select("qid", "term", "idf"), ["qid", "term"]).dropDuplicates(["qid", "term"])
+    return got.groupBy("qid").agg(F.sum("idf").alias("got")).join(total, "qid").select("qid", (F.col("got") / F.col("total")).alias("union_cov"))
+
+
+# What stands beside the best evidence, and how near two values are the same.
+BESIDE_SCORE, BESIDE_COVERAGE, BESIDE_MOST, SAME_VALUE = 0.65, 0.5, 3, 0.03
+
+
+def supporting(evidence: DataFrame) -> DataFrame:
+    """The best evidence of a question and up to two more that come near it in score and coverage."""
+    top = evidence.where("place = 1").select("qid", F.col("score").alias("__s"), F.col("coverage").alias("__c"))
+    near = (F.col("score") >= BESIDE_SCORE * F.col("__s")) & (F.col("coverage") >= BESIDE_COVERAGE * F.col("__c"))
+    e = evidence.join(top, "qid").where((F.col("place") == 1) | near).drop("__s", "__c")
+    return e.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("place"))).where(F.col("place") <= BESIDE_MOST)
+
+
+def headlines(used: DataFrame, asked: DataFrame, terms: DataFrame, quantities: DataFrame) -> DataFrame:
+    """``qid``, ``headline``, ``others``: the value that the supporting evidence states, and other values for a like subject.
+
+    ``used``: qid, place, doc, idx; ``asked``: qid, qtype, wants; ``terms``: qid, terms (array); ``quantities``: doc, idx, q.
+    A value of a wanted kind comes first, by the words that it shares with the question; without one, for open questions,
+    a value of the two best that shares two words. A value of the same kind and unit that shares two words with the
+    headline's and is not nearly equal to it is another value.
+    """
+    v = used.select("qid", "place", "doc", "idx").join(quantities, ["doc", "idx"]).join(asked.select("qid", "qtype", "wants"), "qid").join(terms, "qid")
+    shared = F.size(F.array_intersect("terms", F.array_union("q.ctx", F.array("q.anchor"))))
+    v = v.withColumn("shared", shared).withColumn("wanted", F.array_contains("wants", F.col("q.kind")))
+    fits = F.col("wanted") | (F.col("qtype").isin("quantity", "generic") & (F.col("shared") >= 2) & (F.col("place") <= 2))
+    first = F.struct((~F.col("wanted")).alias("w"), (-F.col("shared")).alias("s"), "place", "q.start")
+    best = v.where(fits).groupBy("qid").agg(F.min_by("q", first).alias("b"))
+    other = v.select("qid", "q").join(best, "qid").where((F.col("q.kind") == F.col("b.kind")) & F.col("q.unit").eqNullSafe(F.col("b.unit")) & (F.size(F.array_intersect("q.ctx", "b.ctx")) >= 2))
+    near = F.abs(F.col("q.num") - F.col("b.num")) <= SAME_VALUE * F.greatest(F.abs("q.num"), F.abs("b.num"), F.lit(1e-9))
+    same = F.when(F.col("q.dt").isNotNull() | F.col("b.dt").isNotNull(), F.col("q.dt").eqNullSafe(F.col("b.dt"))).otherwise(F.coalesce(near, F.lit(False)))
+    other = other.where(~same).groupBy("qid").agg(F.array_sort(F.collect_set("q.raw")).alias("others"))
+    return best.join(other, "qid", "left").select("qid", F.col("b.raw").alias("headline"), "others")
+
+
+def extractive(rows: DataFrame) -> DataFrame:
+    """Adds ``status``, ``confidence``, ``headline`` and ``answer`` to questions with their evidence and disputes.
+
+    A reported dispute is a conflict with all its values and no winner; too little confidence is insufficient, with what
+    the documents never mention and the closest passages as leads; other values for a like subject make it partial.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    diverge = F.col("others").isNotNull()
+    sure = answer_confidence(zero("best"), zero("union_cov"), zero("relevance"), F.coalesce("docs", F.lit(0)), zero("missing_share"), diverge=diverge)
+    against = conflict_confidence(zero("dispute_score"), zero("dispute_coverage"), F.coalesce("time_scoped", F.lit(False)))
+    disputed = F.col("disputes").isNotNull()
+    r = rows.withColumn("confidence", F.round(F.when(disputed, against).when(F.col("best").isNull(), 0.0).otherwise(sure), 3))
+    r = r.withColumn("status", F.when(disputed, "conflict").when(F.col("confidence") < ABSTAIN, "insufficient").when(diverge, "partial").otherwise("answered"))
+    values = F.get(F.col("disputes"), F.lit(0))["values"]
+    versus = F.array_join(F.slice(values, 1, 3), " vs ")
+    found = F.col("status").isin("answered", "partial")
+    headline = F.when(disputed, F.when(F.length(versus) <= 60, versus).otherwise("Sources disagree")).when(found, F.coalesce("headline", F.lit(""))).otherwise("")
+    lines = F.array_join(F.transform("disputes", lambda d: F.concat(F.lit("- **"), F.array_join(d["values"], "** / **"), F.lit("**"))), "\n")
+    quoted = F.array_join(F.transform("used", lambda u, k: F.concat(F.lit("- "), u["text"], F.lit(" [S"), (k + 1).cast("string"), F.lit("]"))), "\n")
+    also = F.when(diverge, F.concat(F.lit("Related passages state other values: "), F.array_join("others", ", "), F.lit(".")))
+    unsaid = F.when(F.size("missing") > 0, F.concat(F.lit("The documents never mention "), F.array_join(F.slice("missing", 1, 4), ", "), F.lit(".")))
+    leads = F.when(F.size("used") > 0, F.concat(F.lit("Closest passages, which do not answer the question:\n"), F.array_join(F.transform(F.slice("used", 1, 2), lambda u: F.concat(F.lit("- "), u["text"])), "\n")))
+    text = F.when(disputed, F.concat(F.lit("**The documents disagree; no single answer is supported.**\n"), lines)).when(found, F.concat_ws("\n\n", quoted, also)).otherwise(F.concat_ws("\n\n", F.lit("**The documents hold no reliable answer.**"), unsaid, leads))
+    return r.withColumn("headline", headline).withColumn("answer", text)
+
+
 def answer_confidence(best_cov, union_cov, relevance, supporting, missing_share, ocr=None, diverge=None):
     """Confidence that an answer is supported, 0 to CAP."""
     s = F.greatest(0.65 * best_cov + 0.35 * relevance, 0.65 * union_cov + 0.35 * relevance)

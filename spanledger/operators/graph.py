@@ -34,21 +34,27 @@ def delete(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; it goes when Python exits."""
+    uri = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+    @atexit.register
+    def _gone() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended
+            delete(spark, uri)
+
+    return uri
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and return a DataFrame that reads it; it goes when Python exits.
+    """Write ``df`` as a table in the shared folder and return a DataFrame that reads it.
 
     A plan that reads a table has nothing of the plan that made it, so a loop of such steps plans each in the same time.
     """
     spark = df.sparkSession
-    uri = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex[:12]}"
+    uri = own_folder(spark, "cut")
     schema = df.schema
     df.write.option("compression", "zstd").parquet(uri)
-
-    @atexit.register
-    def _gone() -> None:
-        with contextlib.suppress(Exception):  # the session may have ended
-            delete(spark, uri)
-
     return spark.read.schema(schema).parquet(uri)
 
 

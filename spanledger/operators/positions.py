@@ -8,6 +8,10 @@ first aggregation (topic, value) combines on the map side and is what later wind
 
 from __future__ import annotations
 
+import calendar
+import datetime
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +91,20 @@ def as_of(sources: DataFrame, day: str) -> DataFrame:
     return t.select("topic", status.alias("status"), F.when(n == 1, F.col("only")).otherwise(F.col("value")).alias("value"), "basis", n.cast("long").alias("positions_known"), F.coalesce("upcoming", F.lit(0)).cast("long").alias("upcoming"))
 
 
+def parse_day(text: str) -> str:
+    """A day for an as-of question: a year or month counts to its last day; anything else that is no day is an error."""
+    t = text.strip()
+    try:
+        if re.fullmatch(r"\d{4}", t):
+            return datetime.date(int(t), 12, 31).isoformat()
+        if re.fullmatch(r"\d{4}-\d{2}", t):
+            year, month = map(int, t.split("-"))
+            return datetime.date(year, month, calendar.monthrange(year, month)[1]).isoformat()
+        return datetime.date.fromisoformat(t).isoformat()
+    except (ValueError, calendar.IllegalMonthError) as e:
+        raise ValueError(f"not a day: {text}") from e
+
+
 def documents_as_of(documents: DataFrame, day: str) -> DataFrame:
     """Adds ``used`` and ``reason`` (undated, later, or null)."""
     k = date_key(F.col("day"))

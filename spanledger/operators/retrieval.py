@@ -5,6 +5,7 @@ All operators take many questions at once and are joins on terms; nothing is ran
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,24 +127,34 @@ def _cut(n: int):
 
 
 def char_grams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``gram``, ``tf``: 3 to 5 letters inside blank-padded words; a padded word shorter than that counts once."""
-    words = F.explode(T.tokenize(F.col(text_col)))
-    w = df.select(F.col(id_col).alias("id"), words.alias("w")).withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
+    """``id``, ``gram``, ``tf``: 3 to 5 letters inside blank-padded words; a padded word shorter than that counts once.
+
+    Texts are dealt by id once; both counts (words, then n-grams of the distinct words) follow in the same tasks.
+    """
+    dealt = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).repartition("id")
+    words = dealt.select("id", F.explode(T.tokenize(F.col("t"))).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n"))
+    w = words.withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
     size = F.length("w")
     grams = F.flatten(F.array(*[F.when(size > n, F.transform(F.sequence(F.lit(1), size - n + 1), _cut(n))).when((size == n) | ((n == 3) & (size < n)), F.array("w")).otherwise(F.array().cast("array<string>")) for n in (3, 4, 5)]))
-    return w.select("id", F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
+    return w.select("id", "n", F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.sum("n").alias("tf"))
 
 
 def char_ngram(passages: DataFrame, id_col: str, text_col: str, questions: DataFrame, qid_col: str, qtext_col: str, k: int = DEPTH) -> DataFrame:
-    """Cosine of sublinear tf times smoothed idf vectors of character n-grams."""
-    p = char_grams(passages, id_col, text_col)
+    """Cosine of sublinear tf times smoothed idf vectors of character n-grams.
+
+    The passages' n-grams are counted once and written; frequencies, lengths and products are scans of that table.
+    """
+    p = graph.cut(char_grams(passages, id_col, text_col))
     q = char_grams(questions, qid_col, qtext_col).withColumnRenamed("id", "qid")
     n = passages.select(id_col).agg(F.count("*").alias("n"))
     df = p.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("gram", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    df = graph.cut(df)
     weigh = lambda x: x.join(df, "gram").withColumn("v", (1 + F.log("tf")) * F.col("idf"))
-    pv, qv = weigh(p).select("id", "gram", "v"), weigh(q).select("qid", "gram", F.col("v").alias("u"))
-    pn, qn = pv.groupBy("id").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("pn")), qv.groupBy("qid").agg(F.sqrt(F.sum(F.col("u") ** 2)).alias("qn"))
-    dots = qv.join(pv, "gram").groupBy("qid", "id").agg(F.sum(F.col("u") * F.col("v")).alias("dot"))
+    qv = graph.cut(weigh(q).select("qid", "gram", F.col("v").alias("u")))
+    pn = weigh(p).groupBy("id").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("pn"))
+    qn = qv.groupBy("qid").agg(F.sqrt(F.sum(F.col("u") ** 2)).alias("qn"))
+    asked = weigh(p.join(qv.select("gram").distinct(), "gram", "left_semi")).select("id", "gram", "v")
+    dots = qv.join(asked, "gram").groupBy("qid", "id").agg(F.sum(F.col("u") * F.col("v")).alias("dot"))
     return top(dots.join(pn, "id").join(qn, "qid").select("qid", "id", F.round(F.col("dot") / (F.col("pn") * F.col("qn")), 6).alias("score")), k)
 
 
@@ -184,6 +195,23 @@ def dense(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFrame, qid
     return top(s, k)
 
 
+def rerank(ranked: DataFrame, passages: DataFrame, questions: DataFrame, scorer, k: int, batch: int = 32) -> DataFrame:
+    """The ``k`` best of ranked passages by ``scorer``: a callable from pairs (question, text) to scores, in batches inside tasks.
+
+    ``ranked``: qid, id and others; ``passages``: id, text; ``questions``: qid, question. ``rank`` and ``score`` become the scorer's.
+    """
+
+    @F.pandas_udf("double")
+    def scores(q: pd.Series, t: pd.Series) -> pd.Series:
+        pairs, out = list(zip(q, t)), []
+        for at in range(0, len(pairs), batch):
+            out += [float(v) for v in scorer(pairs[at : at + batch])]
+        return pd.Series(out, dtype="float64")
+
+    j = ranked.drop("rank", "score").join(passages, "id").join(questions, "qid")
+    return top(j.withColumn("score", scores("question", "text")).drop("question", "text"), k)
+
+
 def dense_share(score):
     """Cosine mapped to 0..1 between 0.45 and 0.75."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (score - 0.45) / 0.30))

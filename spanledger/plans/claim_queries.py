@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from spanledger.functions import text as T
 from spanledger.operators import answers, conflicts, graph, passages, positions as P, retrieval as R
 from spanledger.session import table
+from spanledger.streaming import stages
 
 DAY = "1997-06-30"
 
@@ -116,6 +117,21 @@ def ingest_windows(spark, d):
     return e.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+#: Events of a user as stages, in their order; a purchase ends the way.
+EVENT_STAGES = ["signup", "view", "click", "purchase"]
+
+
+def stage_transitions(spark, d):
+    """The stage machine as a stream over the events of all users: moves, refusals, and users that were silent for a day."""
+    e = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string").parquet(f"{d}/events.parquet*")
+    log = e.select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("stage"), "ts")
+    moved = stages.transitions(log, EVENT_STAGES, ("purchase",), "1 hour", "1 day")
+    out = graph.own_folder(spark, "stages")
+    moved.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(stages.SCHEMA).parquet(f"{out}/rows")
+    return rows.groupBy(F.col("doc_id").cast("long").alias("user_id"), "stage", "kind").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
+
+
 def retention_purge(spark, d):
     o = table(spark, d, "orders")
     last = o.agg(F.max("o_orderdate").alias("last"))
@@ -171,7 +187,7 @@ def rendered_disputes(spark, d):
     return out.select("account", "n_positions", "n_sources", "value_kind", "severity", "value", "basis")
 
 
-QUERIES = [rendered_conflicts, rendered_disputes, claim_conflicts, disputed_points, likely_current, as_of_snapshot, timeline_introduces, corroboration, supersession_pairs, board_edges, compare_suppliers, documents_as_of, values_equal_matrix, conflict_components, evidence_greedy, confidence_levels, status_machine, ingest_windows, retention_purge, cache_misses, casefile_stats]
+QUERIES = [rendered_conflicts, rendered_disputes, claim_conflicts, disputed_points, likely_current, as_of_snapshot, timeline_introduces, corroboration, supersession_pairs, board_edges, compare_suppliers, documents_as_of, values_equal_matrix, conflict_components, evidence_greedy, confidence_levels, status_machine, ingest_windows, stage_transitions, retention_purge, cache_misses, casefile_stats]
 
 _S = "WITH src AS (SELECT l_partkey AS topic, CAST(CAST(round(l_discount * 100) AS INTEGER) AS VARCHAR) || '%' AS value, l_orderkey AS source, strftime(l_shipdate, '%Y-%m-%d') AS day, l_linestatus = 'F' AS formal, l_returnflag = 'R' AS amends, l_suppkey FROM lineitem)"
 
@@ -245,8 +261,15 @@ s AS (SELECT qid, round(greatest(0, least(0.97, 0.65 * best + 0.35 * best + CASE
 SELECT qid, confidence, CASE WHEN confidence < 0.4 THEN 'INSUFFICIENT' WHEN confidence >= 0.68 THEN 'HIGH' WHEN confidence >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM s""",
     "status_machine": "SELECT user_id, stage, n_events, last_ts FROM (SELECT user_id, event_type AS stage, count(*) OVER (PARTITION BY user_id) AS n_events, ts AS last_ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
     "ingest_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "stage_transitions": """WITH e AS (SELECT user_id, event_type AS stage, ts, CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 END AS place FROM events),
+o AS (SELECT *, max(place) OVER (PARTITION BY user_id ORDER BY ts, coalesce(place, 4), stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+m AS (SELECT *, CASE WHEN place > coalesce(before, -1) THEN 'advanced' ELSE 'refused' END AS kind FROM o),
+u AS (SELECT user_id, max(place) AS reached, max(ts) AS ts FROM m GROUP BY user_id),
+s AS (SELECT user_id, CASE reached WHEN 0 THEN 'signup' WHEN 1 THEN 'view' WHEN 2 THEN 'click' END AS stage, ts, 'stuck' AS kind FROM u
+  WHERE coalesce(reached, -1) < 3 AND ts + INTERVAL 1 DAY < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR)
+SELECT user_id, stage, kind, count(*) AS n, max(ts) AS last_ts FROM (SELECT user_id, stage, kind, ts FROM m UNION ALL SELECT user_id, stage, kind, ts FROM s) GROUP BY ALL""",
     "retention_purge": "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY",
     "cache_misses": "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label % 2 = 0)",
-    "casefile_stats": f"""SELECT lang, count(*) AS n_documents, count(quality) AS n_reviewed, CAST(sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_unreadable, CAST(sum(CASE WHEN regexp_matches(text, '{_t._RE2_INJECTION}') THEN 1 ELSE 0 END) AS BIGINT) AS n_injections, CAST(sum(n_chars) AS BIGINT) AS n_chars
+    "casefile_stats": f"""SELECT lang, count(*) AS n_documents, count(quality) AS n_reviewed, CAST(sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_unreadable, CAST(sum(CASE WHEN {T.addresses_ai_sql('text')} THEN 1 ELSE 0 END) AS BIGINT) AS n_injections, CAST(sum(n_chars) AS BIGINT) AS n_chars
 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""",
 }

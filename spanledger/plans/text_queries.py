@@ -144,7 +144,6 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id
 _COV = """cov AS (SELECT qid, id, round(sum(idf) / max(total), 6) AS coverage FROM postings JOIN q_terms USING (term) JOIN dfs USING (term)
   JOIN (SELECT qid, sum(idf) AS total FROM q_terms JOIN dfs USING (term) GROUP BY qid) USING (qid) GROUP BY qid, id)"""
 _GRAMS = """unnest(CASE WHEN length(w) < 3 THEN [w] ELSE list_concat(list_concat([substr(w, CAST(k AS BIGINT), 3) for k in range(1, length(w) - 1)], [substr(w, CAST(k AS BIGINT), 4) for k in range(1, length(w) - 2)]), [substr(w, CAST(k AS BIGINT), 5) for k in range(1, length(w) - 3)]) END)"""
-_RE2_INJECTION = T.INJECTION.replace("'", "''")
 _PREV = "lag(text) OVER (PARTITION BY conv_id ORDER BY turn)"
 
 ORACLE = {
@@ -173,7 +172,7 @@ SELECT item_id, doc_id FROM q, p WHERE length(q.f) >= 8 AND contains(p.f, q.f)""
     "dedupe_sha256": "SELECT doc_id, sha256(text) AS sha256, min(doc_id) OVER (PARTITION BY text) AS kept_id, count(*) OVER (PARTITION BY text) AS copies, doc_id != min(doc_id) OVER (PARTITION BY text) AS duplicate FROM documents",
     "unique_names": "SELECT doc_id, CASE WHEN n = 1 THEN source || '.txt' ELSE source || ' (' || CAST(n AS VARCHAR) || ').txt' END AS name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)",
     "injection_scan": f"""WITH a AS (SELECT 'conversation' AS kind, text FROM conversations UNION ALL SELECT 'document', text FROM documents)
-SELECT kind, count(*) AS n, CAST(sum(CASE WHEN regexp_matches(text, '{_RE2_INJECTION}') THEN 1 ELSE 0 END) AS BIGINT) AS n_injections FROM a GROUP BY kind""",
+SELECT kind, count(*) AS n, CAST(sum(CASE WHEN {T.addresses_ai_sql('text')} THEN 1 ELSE 0 END) AS BIGINT) AS n_injections FROM a GROUP BY kind""",
     "negations": f"""WITH t AS (SELECT doc_id, lower(text) AS x FROM documents)
 SELECT doc_id, CAST(len([w for w in regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_'']+') if w IN ({", ".join("'" + w + "'" for w in T.NEGATIVE_WORDS)}) OR ends_with(w, 'n''t')]) + len(regexp_extract_all(x, '\\b(failed|fails) to\\b')) AS BIGINT) AS n_negations FROM t""",
     "partial_date_order": """WITH o AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN substr(day, 1, 4) WHEN o_orderkey % 3 = 1 THEN substr(day, 1, 7) ELSE day END AS partial, day FROM (SELECT o_orderkey, substr(CAST(o_orderdate AS VARCHAR), 1, 10) AS day FROM orders))
