@@ -45,19 +45,28 @@ DISAGREE = "**The documents disagree; no single answer is supported.**"
 
 
 def drafts(prompts: DataFrame, model: Callable[[list[str]], list[str | None]], batch: int = 16) -> DataFrame:
-    """``qid``, ``draft`` and ``failure`` of every prompt (``qid``, ``prompt``); a failing batch fails for its prompts only."""
+    """``qid``, ``draft`` and ``failure`` of every prompt (``qid``, ``prompt``).
+
+    The prompts of a batch that fails are tried one by one; the reason of one that fails alone is its ``failure``.
+    """
+
+    def tried(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            told, why = list(model(part.prompt.tolist())), None
+            if len(told) != len(part):
+                raise ValueError(f"{len(told)} drafts for {len(part)} prompts")
+        except Exception as e:  # whatever a plug-in raises becomes the reason
+            if len(part) > 1:
+                for k in range(len(part)):
+                    yield from tried(part.iloc[k : k + 1])
+                return
+            told, why = [None], f"{type(e).__name__}: {e}"[:200]
+        yield pd.DataFrame({"qid": part.qid, "draft": told, "failure": why})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for at in range(0, len(f), batch):
-                part = f.iloc[at : at + batch]
-                try:
-                    told, why = list(model(part.prompt.tolist())), None
-                    if len(told) != len(part):
-                        raise ValueError(f"{len(told)} drafts for {len(part)} prompts")
-                except Exception as e:  # whatever a plug-in raises becomes the reason of these rows
-                    told, why = [None] * len(part), f"{type(e).__name__}: {e}"[:200]
-                yield pd.DataFrame({"qid": part.qid, "draft": told, "failure": why})
+                yield from tried(f.iloc[at : at + batch])
 
     return prompts.select(F.col("qid").cast("string").alias("qid"), "prompt").mapInPandas(run, "qid string, draft string, failure string")
 
@@ -233,7 +242,7 @@ def finalize(told: DataFrame, offered: DataFrame, candidates: DataFrame, base: D
     rows = v.where("part = 1").join(labels.select("qid", "chunk", "start", "end", "label"), ["qid", "chunk", "start", "end"]).join(facts, ["qid", "i"])
     matrix = rows.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", F.struct("subject", "predicate", "value", "date", "doc_id", "doc_name", "page", "label", F.col("cited").alias("quote")).alias("r")))), lambda x: x["r"]).alias("matrix"))
     points = disputes.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.struct("cid", "topic", "kind", "positions", "explanation", "note", "forced").alias("c")))), lambda x: x["c"]).alias("conflicts"), F.max("forced").alias("forced"))
-    out = base.join(parsed, "qid")
+    out = base.select("qid", "best", "union_cov", "relevance", "missing_share", "dispute_score", "dispute_coverage", "time_scoped").join(parsed, "qid")
     for part in (counts, discarded, insisted, honoured, left, book, of_pid, matrix, points):
         out = out.join(part, "qid", "left")
     return _worded(out)

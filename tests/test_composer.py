@@ -142,13 +142,13 @@ def test_broken_drafts_leave_the_question(finished, text):
     assert text not in finished
 
 
-def test_a_failing_model_fails_for_its_batch(spark):
+def test_a_failing_model_fails_for_its_prompt(spark):
     def model(prompts):
         if any("bad" in p for p in prompts):
             raise TimeoutError("no answer")
         return ["{}" for _ in prompts]
 
-    rows = composer.drafts(spark.createDataFrame([("1", "bad"), ("2", "good")], "qid string, prompt string").coalesce(1), model, batch=1).collect()
+    rows = composer.drafts(spark.createDataFrame([("1", "bad"), ("2", "good")], "qid string, prompt string").coalesce(1), model).collect()
     assert {r["qid"]: (r["draft"], r["failure"]) for r in rows} == {"1": (None, "TimeoutError: no answer"), "2": ("{}", None)}
 
 
