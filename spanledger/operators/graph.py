@@ -112,3 +112,20 @@ def components(edges: DataFrame, max_rounds: int = 40, max_steps: int = 64) -> D
     for p in reversed(maps[:-1]):
         out = cut(followed(p, out.select(F.col("id").alias("up"), F.col("up").alias("top"))).select("id", F.col("top").alias("up")))
     return out.select("id", F.col("up").alias("component"))
+
+
+def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """``id``, ``hops`` of the nodes within ``hops`` steps of ``seeds`` (``id``) along ``a``, ``b`` in either direction.
+
+    Each step joins the nodes reached last with the edges, so it costs what it reaches; seeds that have no edge stay.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct()
+    last = cut(seeds.select("id", F.lit(0).alias("hops")).where("id is not null").distinct())
+    reached = last
+    for k in range(1, hops + 1):
+        step = both.join(last.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
+        last = cut(step.join(reached.select("id"), "id", "left_anti").withColumn("hops", F.lit(k)))
+        if last.isEmpty():
+            break
+        reached = reached.unionByName(last)
+    return reached

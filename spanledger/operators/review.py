@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanledger.functions import text as T
 from spanledger.functions import values as V
 
 SEVERITY = {"ok": 0, "minor": 1, "major": 2, "critical": 3}
@@ -39,6 +40,44 @@ def undisclosed(citations: DataFrame, sources: DataFrame, disclosed: DataFrame)
     return hit.select("qid", "topic").distinct().join(disclosed, ["qid", "topic"], "left_anti")
 
 
+#: Wording by which a sentence takes something back or sets a condition.
+EXCEPTION = r"(?i)\b(?:except(?:ion|ions|ing|ed)?|unless|however|provided that|notwithstanding|subject to|does not apply|do not apply|other than|only if|excluding|excludes|exempt|with the exception|waived?)\b"
+SCAN_CONFIDENCE, LEAST_SENTENCE, SHARED_TERMS = 0.88, 25, 2
+
+
+def exceptions(citations: DataFrame, pool: DataFrame, terms: DataFrame) -> DataFrame:
+    """Sentences that an answer does not cite although they speak of exceptions on its subject.
+
+    ``citations``: qid, doc_id, page, start, end. ``pool``: doc_id, page, start, section, text, and qid for passages that
+    belong to a question's subject (null: any passage). ``terms``: qid, term. Looked at are the question's own passages and
+    those in a section that it cites; a sentence counts when it has exception wording, shares SHARED_TERMS stems with the
+    question and no character with a cited span. Returns qid, doc_id, page, start, end, sentence.
+    """
+    held = pool.select("doc_id", "page", "section", "start", "text")
+    at = citations.select("qid", "doc_id", "page", F.col("start").alias("s0"), F.col("end").alias("s1"))
+    here = held.withColumn("upto", F.col("start") + F.length("text"))
+    cited = at.join(here, ["doc_id", "page"]).where((F.col("s0") < F.col("upto")) & (F.col("start") < F.col("s1"))).select("qid", "doc_id", "section").distinct()
+    near = held.join(cited, (held["doc_id"] == cited["doc_id"]) & held["section"].eqNullSafe(cited["section"])).select("qid", held["doc_id"], "page", "start", "text")
+    looked = near.unionByName(pool.where("qid is not null").select("qid", "doc_id", "page", "start", "text")).distinct().where(F.col("text").rlike(EXCEPTION))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = [(q, d, p, s + a, s + b, t[a:b]) for q, d, p, s, t in zip(f.qid, f.doc_id, f.page, f.start, f.text) for a, b in V.sentences(t)]
+            yield pd.DataFrame(out, columns=["qid", "doc_id", "page", "start", "end", "sentence"])
+
+    said = looked.mapInPandas(run, "qid string, doc_id string, page int, start int, end int, sentence string")
+    said = said.where((F.length("sentence") >= LEAST_SENTENCE) & F.col("sentence").rlike(EXCEPTION)).distinct()
+    shared = T.content_terms(said, "sentence").join(terms.select(F.col("qid").cast("string").alias("qid"), "term").distinct(), ["qid", "term"])
+    shared = shared.groupBy("qid", "doc_id", "page", "start", "end", "sentence").agg(F.count_distinct("term").alias("n")).where(F.col("n") >= SHARED_TERMS).drop("n")
+    span = at.select(F.col("qid").cast("string").alias("qid"), "doc_id", "page", "s0", "s1")
+    return shared.join(span, (shared["qid"] == span["qid"]) & (shared["doc_id"] == span["doc_id"]) & (shared["page"] == span["page"]) & (shared["start"] < span["s1"]) & (span["s0"] < shared["end"]), "left_anti")
+
+
+def poor_scans(citations: DataFrame) -> DataFrame:
+    """``qid``, ``lowest``: questions with a quote from a scan read with less confidence than SCAN_CONFIDENCE."""
+    return citations.where(F.col("ocr_conf") < SCAN_CONFIDENCE).groupBy("qid").agg(F.min("ocr_conf").alias("lowest"))
+
+
 def verdicts(answers: DataFrame, citations: DataFrame, quotes_ok: DataFrame, sources: DataFrame, disclosed: DataFrame) -> DataFrame:
     """``qid`` and verdict: refuted (a forged quote, an uncited value, a hidden dispute), weakened (one source), survived.
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanledger.operators import composer
-from spanledger.plans.claim_queries import rendered_documents
-from spanledger.session import table
+from spanledger.operators import composer, graph, passages, versions
+from spanledger.operators import positions as P
+from spanledger.plans.claim_queries import _S, _pos, rendered_documents, sources
 
 #: Scores of the base that the scripted questions share.
 DISPUTE_SCORE = 0.9
@@ -54,9 +54,40 @@ def verified_answers(spark, d):
     return out.select(F.col("qid").cast("long").alias("suppkey"), "status", "level", "headline", "confidence", "n_quotes", "n_bad", F.when(F.col("citations").isNull(), F.lit(0).cast("long")).otherwise(size("citations")).alias("n_citations"), F.when(F.col("conflicts").isNull(), F.lit(0).cast("long")).otherwise(size("conflicts")).alias("n_conflicts"))
 
 
-QUERIES = [verified_answers]
+def version_changes(spark, d):
+    """What the rendered amendment of each supplier changes in its contract."""
+    docs = rendered_documents(spark, d).where(~F.col("doc_id").startswith("email"))
+    c = passages.claims(passages.chunks(passages.one_page(docs, "doc_id", "text")))
+    side = F.when(F.col("doc_id").startswith("contract"), "left").otherwise("right")
+    c = c.withColumn("pair", F.regexp_extract("doc_id", r"_(\d+)\.", 1).cast("long")).withColumn("side", side)
+    return versions.changes(c).select(F.col("pair").alias("suppkey"), "state", "kind", "value_l", "value_r", "direction", "delta", "description")
+
+
+def board_neighbours(spark, d):
+    """Nodes of the case board within two steps of the orders of the first day."""
+    s = sources(spark, d)
+    edges = P.board_edges(s, P.positions(s))
+    first = s.agg(F.min("day").alias("first"))
+    seeds = s.join(F.broadcast(first), F.col("day") == F.col("first")).select(F.col("source").cast("string").alias("id")).distinct()
+    return graph.neighbourhood(edges, seeds, 2).select("id", "hops")
+
+
+QUERIES = [verified_answers, version_changes, board_neighbours]
 
 ORACLE = {
+    "version_changes": """
+WITH r AS (SELECT s_suppkey AS k, 1000 + CAST(trunc(abs(s_acctbal)) AS INTEGER) AS v, s_suppkey % 3 = 0 AS changed FROM supplier),
+x AS (SELECT *, v + CASE WHEN changed THEN 900 ELSE 0 END AS w FROM r)
+SELECT CAST(k AS BIGINT) AS suppkey, CASE WHEN changed THEN 'changed' ELSE 'unchanged' END AS state, 'money' AS kind, '$' || format('{:,}', v) AS value_l, '$' || format('{:,}', w) AS value_r,
+  CASE WHEN changed THEN 'increased' END AS direction, CASE WHEN changed THEN CAST(900 AS DOUBLE) END AS delta, CASE WHEN changed THEN 'increased by $900 (+' || printf('%.1f', 900.0 / v * 100) || '%)' END AS description FROM x""",
+    "board_neighbours": f"""{_S}, {_pos('src')},
+e0 AS (SELECT DISTINCT CAST(source AS VARCHAR) AS a, CAST(src.topic AS VARCHAR) || '=' || src.value AS b FROM src JOIN pos ON pos.topic = src.topic AND pos.value = src.value WHERE n_positions > 1
+  UNION SELECT CAST(topic AS VARCHAR) || '=' || value, CAST(topic AS VARCHAR) || '=' || nxt FROM (SELECT *, lead(value) OVER (PARTITION BY topic ORDER BY place) AS nxt FROM pos WHERE n_positions > 1) WHERE nxt IS NOT NULL),
+e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
+h0 AS (SELECT DISTINCT CAST(source AS VARCHAR) AS id FROM src WHERE day = (SELECT min(day) FROM src)),
+h1 AS (SELECT DISTINCT b AS id FROM e JOIN h0 ON a = id WHERE b NOT IN (SELECT id FROM h0)),
+h2 AS (SELECT DISTINCT b AS id FROM e JOIN h1 ON a = id WHERE b NOT IN (SELECT id FROM h0) AND b NOT IN (SELECT id FROM h1))
+SELECT id, 0 AS hops FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2""",
     "verified_answers": f"""
 WITH r AS (SELECT s_suppkey AS k, 1000 + CAST(trunc(abs(s_acctbal)) AS INTEGER) AS v FROM supplier),
 x AS (SELECT k, k % 5 AS c, '$' || format('{{:,}}', v) AS old, '$' || format('{{:,}}', v + CASE WHEN k % 3 = 0 THEN 900 ELSE 0 END) AS new, k % 3 = 0 AS disputed, k % 3 = 0 AND k % 2 = 0 AS firm FROM r),
