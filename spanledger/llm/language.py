@@ -145,8 +145,8 @@ def training_rows(docs: DataFrame, scratch: Scratch, id_col="doc_id", text_col="
     d = d.where(F.col("lang").isNotNull() & ~held_out("id") & F.col("text").rlike(r"\p{L}"))
     distinct = scratch.write(d.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("id").alias("id")), "distinct")
     # of a language with many texts only about 2 * most, those with the smallest hashes, are sorted
-    counts = distinct.groupBy("lang").agg(F.count("*").alias("n"))
-    few = distinct.join(counts, "lang").where((F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("n") <= 2 * most)
+    counts = distinct.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(most)  # no more languages can be in the sample
+    few = distinct.join(F.broadcast(counts), "lang").where((F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("n") <= 2 * most)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     chosen = scratch.write(few.withColumn("nth", nth).where(F.col("nth") <= most).orderBy("nth", "lang").limit(most), "chosen")
     rows = d.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h", "id"]).dropDuplicates(["lang", "h"])
