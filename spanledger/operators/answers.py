@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanledger.operators import graph
+
 # Thresholds of the answer levels.
 MEDIUM_AT, HIGH_AT, CAP, ABSTAIN = 0.50, 0.68, 0.97, 0.40
 
@@ -33,6 +35,28 @@ def union_coverage(evidence: DataFrame, postings: DataFrame, known: DataFrame) -
     return got.groupBy("qid").agg(F.sum("idf").alias("got")).join(total, "qid").select("qid", (F.col("got") / F.col("total")).alias("union_cov"))
 
 
+def cover(hits: DataFrame, most: int = 3) -> DataFrame:
+    """``qid``, ``id``, ``step``, ``gain``: passages that cover a question's terms together, the greedy way.
+
+    ``hits``: qid, id, term, w (a term's weight in a passage: less where only its heading has it; the largest counts).
+    Every step takes for each question the passage that adds the most weight of terms not covered yet (ties: smallest id);
+    questions of which nothing is left to cover stop. Each step is one aggregation; the hits shrink with every step.
+    """
+    left = graph.cut(hits.groupBy("qid", "id", "term").agg(F.max("w").alias("w")))
+    out = None
+    for step in range(1, most + 1):
+        gain = left.groupBy("qid", "id").agg(F.round(F.sum("w"), 6).alias("gain"))
+        n = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("gain"), "id"))
+        best = graph.cut(gain.withColumn("n", n).where("n = 1").select("qid", "id", F.lit(step).alias("step"), "gain"))
+        out = best if out is None else out.unionByName(best)
+        if step < most:
+            done = left.join(best.select("qid", "id"), ["qid", "id"], "left_semi").select("qid", "term").distinct()
+            left = graph.cut(left.join(done, ["qid", "term"], "left_anti"))
+            if left.isEmpty():
+                break
+    return out
+
+
 # What stands beside the best evidence, and how near two values are the same.
 BESIDE_SCORE, BESIDE_COVERAGE, BESIDE_MOST, SAME_VALUE = 0.65, 0.5, 3, 0.03
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanledger.operators import composer, graph, passages, versions
+from spanledger.operators import answers, composer, graph, passages, versions
 from spanledger.operators import positions as P
-from spanledger.plans.claim_queries import _S, _pos, rendered_documents, sources
+from spanledger.operators import retrieval as R
+from spanledger.plans.claim_queries import _COVERAGE, _S, _pos, rendered_documents, sources
+from spanledger.session import table
 
 #: Scores of the base that the scripted questions share.
 DISPUTE_SCORE = 0.9
@@ -72,9 +74,23 @@ def board_neighbours(spark, d):
     return graph.neighbourhood(edges, seeds, 2).select("id", "hops")
 
 
-QUERIES = [verified_answers, version_changes, board_neighbours]
+def evidence_cover(spark, d):
+    """The two documents that cover most of a benchmark question's terms together."""
+    docs, b = table(spark, d, "documents"), table(spark, d, "benchmark")
+    postings = R.index(docs, "doc_id", "text")
+    known = R.known_terms(postings, R.count_of(docs), R.query_terms(b, "item_id", "text"))
+    hits = postings.select("id", "term").join(known.select("qid", "term", F.col("idf").alias("w")), "term")
+    return answers.cover(hits, 2)
+
+
+QUERIES = [evidence_cover, verified_answers, version_changes, board_neighbours]
 
 ORACLE = {
+    "evidence_cover": f"""{_COVERAGE}, hit AS (SELECT qid, id, term, idf FROM q_terms JOIN dfs USING (term) JOIN postings USING (term)),
+g1 AS (SELECT qid, id, round(sum(idf), 6) AS gain FROM hit GROUP BY qid, id), b1 AS (SELECT * FROM g1 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY gain DESC, id) = 1),
+done AS (SELECT DISTINCT qid, term FROM hit JOIN b1 USING (qid, id)), rest AS (SELECT hit.* FROM hit LEFT JOIN done USING (qid, term) WHERE done.qid IS NULL),
+g2 AS (SELECT qid, id, round(sum(idf), 6) AS gain FROM rest GROUP BY qid, id), b2 AS (SELECT * FROM g2 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY gain DESC, id) = 1)
+SELECT qid, id, 1 AS step, gain FROM b1 UNION ALL SELECT qid, id, 2, gain FROM b2""",
     "version_changes": """
 WITH r AS (SELECT s_suppkey AS k, 1000 + CAST(trunc(abs(s_acctbal)) AS INTEGER) AS v, s_suppkey % 3 = 0 AS changed FROM supplier),
 x AS (SELECT *, v + CASE WHEN changed THEN 900 ELSE 0 END AS w FROM r)
