@@ -67,7 +67,7 @@ class Workspace:
 
     def _scope(self, as_of: str | None) -> DataFrame:
         d = self._table("documents").where("status = 'READY'")
-        return d if as_of is None else positions.documents_as_of(d, as_of).where("used").drop("used", "reason")
+        return d if as_of is None else positions.documents_as_of(d, positions.parse_day(as_of)).where("used").drop("used", "reason")
 
     def conflicts(self, as_of: str | None = None) -> tuple[DataFrame, DataFrame]:
         """(disputed points, their sources)."""
@@ -77,7 +77,7 @@ class Workspace:
 
     def timeline(self, day: str | None = None) -> DataFrame:
         _, sources = self.conflicts()
-        return positions.introduces(sources) if day is None else positions.as_of(sources, day)
+        return positions.introduces(sources) if day is None else positions.as_of(sources, positions.parse_day(day))
 
     def _passages(self, as_of: str | None) -> DataFrame:
         return self._table("passages").join(self._scope(as_of).select("doc_id"), "doc_id", "left_semi").withColumn("pid", F.concat_ws(":", "doc_id", "idx"))
@@ -152,8 +152,6 @@ class Workspace:
         With a ``model`` (prompts to drafts in JSON) a question gets its finished draft where there is a readable one
         (:mod:`spanledger.operators.composer`), and the extractive answer otherwise; ``engine`` says which.
         """
-        if as_of is not None:
-            as_of = positions.parse_day(as_of)
         x = self._evidence(questions, as_of, embedder, reranker)
         e, told, base = x["evidence"], x["told"], x["base"]
         quantities = self._table("claims").select(F.col("doc_id").alias("doc"), "idx", F.explode("quantities").alias("q"))

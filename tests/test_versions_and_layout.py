@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from spanledger.operators import graph, passages, review, versions
+from spanledger.operators import graph, passages, positions, review, versions
 from spanledger.sources import layout
 
 OLD = "# Coverage Limits\nThe maximum claim limit is $500,000 per policy year.\nThe waiting period is 30 days before a claim can be filed.\n# Premium\nThe annual premium is $1,200 for a standard plan.\n# Retention\nClaim records are kept for 5 years."
@@ -67,6 +68,13 @@ def test_uncited_exceptions(spark):
     assert [tuple(r) for r in review.poor_scans(scans).collect()] == [("r", 0.7)]
 
 
+def test_days_of_as_of_questions():
+    assert [positions.parse_day(t) for t in ("2023", "2024-02", " 2024-02-03 ")] == ["2023-12-31", "2024-02-29", "2024-02-03"]
+    for bad in ("soon", "2024-13", "2024-02-30", "0000", ""):
+        with pytest.raises(ValueError):
+            positions.parse_day(bad)
+
+
 def test_neighbourhood_is_breadth_first(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(50)] + [(1, None)]
