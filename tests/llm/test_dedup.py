@@ -226,15 +226,15 @@ def test_forest_finds_near_ones_and_is_exact_without_budget(spark, vectors):
 def test_forest_uses_its_prefixes(spark):
     """Unrelated vectors, production parameters: recall, and prefixes of several lengths."""
     rng = np.random.default_rng(4)
-    x = rng.standard_normal((4000, 64)).astype("float32")
+    x = rng.standard_normal((8000, 64)).astype("float32")
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
     s = Scratch(spark, "t-f")
     got = {}
     for r in prefix_forest.search(df, s, lambda c: c % 50 == 0).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     x = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
-    hit = sum(len(got[q] & set(nearest(np.arange(4000), x, q)[0])) for q in range(0, 4000, 50))
-    assert hit / (5 * 80) >= 0.9
+    hit = sum(len(got[q] & set(nearest(np.arange(8000), x, q)[0])) for q in range(0, 8000, 50))
+    assert hit / (5 * 160) >= 0.9
     levels = {r["level"] for r in spark.read.parquet(s.path("chosen")).collect()}
     assert 0 not in levels and len(levels) > 1
     assert prefix_forest.row_budget(10**9) < 10**8
