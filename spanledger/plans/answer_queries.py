@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanledger.operators import answers, composer, graph, passages, versions
+from spanledger.operators import answers, composer, graph, passages, spans, versions
 from spanledger.operators import positions as P
 from spanledger.operators import retrieval as R
 from spanledger.plans.claim_queries import _COVERAGE, _S, _pos, rendered_documents, sources
@@ -83,9 +83,22 @@ def evidence_cover(spark, d):
     return answers.cover(hits, 2)
 
 
-QUERIES = [evidence_cover, verified_answers, version_changes, board_neighbours]
+def quote_spans(spark, d):
+    """Where benchmark texts stand in documents, asked for as they are, in capitals, or with other blanks (item_id % 3)."""
+    form = F.when(F.col("item_id") % 3 == 1, F.upper("text")).when(F.col("item_id") % 3 == 2, F.regexp_replace("text", r"\s+", "  ")).otherwise(F.col("text"))
+    asked = table(spark, d, "benchmark").select("item_id", form.alias("quote"))
+    out = spans.locate(table(spark, d, "documents"), asked, "doc_id", "text", "item_id", "quote")
+    return out.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), "start", "end")
+
+
+QUERIES = [quote_spans, evidence_cover, verified_answers, version_changes, board_neighbours]
 
 ORACLE = {
+    "quote_spans": r"""
+WITH q AS (SELECT item_id, list_transform(regexp_split_to_array(trim(lower(text), E' \t\n\r'), '\s+'), lambda w: regexp_escape(w)) AS ws FROM benchmark),
+p AS (SELECT item_id, ws[1] AS anchor, array_to_string(ws, '\s+') AS pattern FROM q),
+f AS (SELECT item_id, doc_id, text, regexp_extract(lower(text), '(?s)^.*?(' || pattern || ')', 1) AS found, regexp_extract(lower(text), '(?s)^(.*?)' || pattern, 1) AS head FROM p, documents WHERE regexp_matches(lower(text), pattern))
+SELECT item_id, doc_id, CAST(length(head) AS INTEGER) AS "start", CAST(length(head) + length(found) AS INTEGER) AS "end" FROM f""",
     "evidence_cover": f"""{_COVERAGE}, hit AS (SELECT qid, id, term, idf FROM q_terms JOIN dfs USING (term) JOIN postings USING (term)),
 g1 AS (SELECT qid, id, round(sum(idf), 6) AS gain FROM hit GROUP BY qid, id), b1 AS (SELECT * FROM g1 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY gain DESC, id) = 1),
 done AS (SELECT DISTINCT qid, term FROM hit JOIN b1 USING (qid, id)), rest AS (SELECT hit.* FROM hit LEFT JOIN done USING (qid, term) WHERE done.qid IS NULL),

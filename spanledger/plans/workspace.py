@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spanledger.functions import text as T
 from spanledger.operators import analysis as A
-from spanledger.operators import answers, composer, conflicts, graph, positions
+from spanledger.operators import answers, composer, conflicts, graph, positions, spans
 from spanledger.operators import retrieval as R
 from spanledger.streaming import ingest
 from spanledger.streaming.store import Store
@@ -218,6 +218,11 @@ class Workspace:
         cut = F.substring("page_text", F.col("start") + 1, F.col("end") - F.col("start"))
         return j.withColumn("verbatim", F.coalesce(cut == F.col("quote"), F.lit(False))).drop("page_text")
 
+    def locate(self, quotes: DataFrame, as_of: str | None = None) -> DataFrame:
+        """``quotes``: qid, quote. ``qid``, ``doc_id``, ``page``, ``start`` and ``end`` of every page that a quote stands on."""
+        pages = self._scope(as_of).select("doc_id", F.explode("pages").alias("p")).select(F.struct("doc_id", F.col("p.number").alias("page")).alias("id"), F.col("p.text").alias("text"))
+        return spans.locate(pages, quotes).select("qid", "id.doc_id", "id.page", "start", "end")
+
     def report(self) -> str:
         """The case file as Markdown."""
         rows = self.casefile().collect()
