@@ -3,8 +3,8 @@
 A text is its words (runs of characters that are not blank) with their positions. A quote of five words or more is looked up
 by three neighbouring words inside it, a shorter one by the word inside it, in each case by the choice that occurs least
 often in the texts; a quote of one or two words by the words of the vocabulary that end, begin or contain it. Such places
-are joined with their texts and compared there, word by word. Nothing but these places is shuffled by word, and only texts
-with a place are read whole.
+are joined with their texts and compared there, word by word. Only places of words that quotes have leave the first pass over
+the texts, and only texts with a place are read whole.
 """
 
 from __future__ import annotations
@@ -12,57 +12,78 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What separates words, in all scripts.
-BLANK = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+from spanledger.operators.graph import cut
+
+#: What separates words besides ASCII's blanks, in all scripts.
+OTHER_BLANKS = "\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 GRAM = 3
 
 
+def _plain(text: Column) -> Column:
+    """The text, null as empty, with a blank for each of the other blanks; places in it stay the same."""
+    return F.translate(F.coalesce(text, F.lit("")), OTHER_BLANKS, " " * len(OTHER_BLANKS))
+
+
 def _pieces(text: Column) -> Column:
     """The words of a text, each with the blanks before it."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[{BLANK}]*[^{BLANK}]+"), F.lit(0))
+    return F.regexp_extract_all(_plain(text), F.lit(r"\s*\S+"), F.lit(0))
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^{BLANK}]+"), F.lit(0))
+    return F.regexp_extract_all(_plain(text), F.lit(r"\S+"), F.lit(0))
 
 
 def _lower_words(text: Column) -> Column:
-    return F.transform(words(text), F.lower)
+    return words(F.lower(text))
 
 
-def _grams(held: DataFrame, size: int) -> DataFrame:
-    """``gram`` (the hash of ``size`` neighbouring words) and ``pos`` for every place in ``ws``."""
-    n = F.size("ws") - size + 1
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(at, lambda k: F.xxhash64(F.lit(size), F.slice(F.col("ws"), k + 1, size)))
-    return held.select(*[c for c in held.columns if c != "ws"], F.posexplode(hashes).alias("pos", "gram"))
+def _grams(held: DataFrame, *sizes: int) -> DataFrame:
+    """``gram`` (the hash of so many neighbouring words) and ``pos`` for every place in ``ws``, for all ``sizes`` in one pass."""
+    rest = [c for c in held.columns if c != "ws"]
+    hashed = held.select(*rest, F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"))
 
+    def of(size: int) -> Column:
+        last = F.size("hs") - size
+        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda k: F.struct(k.alias("pos"), F.xxhash64(F.lit(size), *[F.get("hs", k + j) for j in range(size)]).alias("gram")))
 
-def _inner(quotes: DataFrame, postings: DataFrame, size: int) -> DataFrame:
-    """Places (``qid``, ``id``, ``at``) of quotes by their rarest ``size`` neighbouring inner words."""
-    mine = _grams(quotes.select("qid", F.slice("ws", 2, F.size("ws") - 2).alias("ws")), size)
-    wanted = mine.select("gram").distinct()
-    often = postings.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    # a quote of which one choice is nowhere stands nowhere
-    rarest = mine.join(often, "gram", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pos", "gram")).alias("best")).where("best.n > 0")
-    anchors = rarest.select("qid", F.col("best.gram").alias("gram"), (F.col("best.pos") + 1).alias("k"))
-    return postings.join(anchors, "gram").select("qid", "id", (F.col("pos") - F.col("k")).alias("at")).where("at >= 0")
+    return hashed.select(*rest, F.inline(F.concat(*map(of, sizes))))
+
+
+def _inner(quotes: DataFrame) -> DataFrame:
+    """Choices (``qid``, ``k``: the place in the quote, ``gram``) of quotes that have words between the first and the last."""
+    size = F.size("ws")
+    of = lambda q, n: _grams(q.select("qid", F.slice("ws", 2, F.size("ws") - 2).alias("ws")), n)
+    both = of(quotes.where(size >= GRAM + 2), GRAM).unionByName(of(quotes.where((size > 2) & (size < GRAM + 2)), 1))
+    return both.select("qid", (F.col("pos") + 1).alias("k"), "gram")
 
 
-def _brief(quotes: DataFrame, texts: DataFrame, postings: DataFrame) -> DataFrame:
-    """Places of quotes of one or two words: the first one ends a word of the text, or is inside it if it is the only one."""
-    first = quotes.select("qid", F.size("ws").alias("n"), F.element_at("ws", 1).alias("part"))
+def _brief(quotes: DataFrame, held: DataFrame) -> DataFrame:
+    """Choices of quotes of one or two words: the words of the texts that end with the first one, or contain it if it is the only one."""
+    first = quotes.where(F.size("ws") <= 2).select("qid", F.size("ws").alias("n"), F.element_at("ws", 1).alias("part"))
     of_length = lambda n: F.array_sort(F.collect_set(F.when(F.col("n") == n, F.length("part"))))
-    lengths = first.agg(of_length(1).alias("l1"), of_length(2).alias("l2"))
-    vocabulary = texts.select(F.explode(F.array_distinct("ws")).alias("word")).distinct().crossJoin(F.broadcast(lengths))  # one row
+    # one row, or none where no quote is so short: then the texts are not read for this
+    lengths = first.agg(of_length(1).alias("l1"), of_length(2).alias("l2")).where("size(l1) + size(l2) > 0")
+    vocabulary = held.crossJoin(F.broadcast(lengths)).select(F.explode(F.array_distinct("ws")).alias("word"), "l1", "l2").distinct()
     long = F.length("word")
     ends = vocabulary.select("word", F.explode(F.filter("l2", lambda n: n <= long)).alias("len"))
     ends = ends.select("word", F.lit(2).alias("n"), F.substring("word", long - F.col("len") + 1, F.col("len")).alias("part"))
     inside = vocabulary.select("word", F.explode(F.filter("l1", lambda n: n <= long)).alias("len"))
     inside = inside.select("word", "len", F.explode(F.sequence(F.lit(1), long - F.col("len") + 1)).alias("from"))
     inside = inside.select("word", F.lit(1).alias("n"), F.substring("word", F.col("from"), F.col("len")).alias("part")).distinct()
-    hit = ends.unionByName(inside).join(first, ["n", "part"]).select("qid", F.xxhash64(F.lit(1), F.array("word")).alias("gram"))
-    return postings.join(hit, "gram").select("qid", "id", F.col("pos").alias("at"))
+    return ends.unionByName(inside).join(first, ["n", "part"]).select("qid", F.lit(0).alias("k"), F.xxhash64(F.lit(1), F.xxhash64("word")).alias("gram"))
+
+
+def _places(held: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Places (``qid``, ``id``, ``at``) where a quote may begin. The texts are read once for all quotes of three words or more."""
+    inner, brief = cut(_inner(quotes)), cut(_brief(quotes, held))
+    wanted = inner.select("gram").union(brief.select("gram")).distinct()
+    postings = cut(_grams(held, 1, GRAM).join(wanted, "gram", "left_semi"))
+    often = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    # a quote of which one choice is nowhere stands nowhere
+    best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k", "gram")).alias("best")
+    rarest = inner.join(often, "gram", "left").groupBy("qid").agg(best).where("best.n > 0").select("qid", "best.k", "best.gram")
+    return postings.join(rarest.unionByName(brief), "gram").select("qid", "id", (F.col("pos") - F.col("k")).alias("at")).where("at >= 0").distinct()
 
 
 def locate(texts: DataFrame, quotes: DataFrame, id_col: str = "id", text_col: str = "text", qid_col: str = "qid", quote_col: str = "quote") -> DataFrame:
@@ -77,12 +98,7 @@ def locate(texts: DataFrame, quotes: DataFrame, id_col: str = "id", text_col: st
     told = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     asked = quotes.select(F.col(qid_col).alias("qid"), F.col(quote_col).alias("quote")).withColumn("ws", _lower_words(F.col("quote"))).where(F.size("ws") > 0)
     held = told.select("id", _lower_words(F.col("text")).alias("ws"))
-    single, several = _grams(held, 1), _grams(held, GRAM)
-    size = F.size("ws")
-    places = _inner(asked.where(size >= GRAM + 2), several, GRAM).unionByName(_inner(asked.where((size > 2) & (size < GRAM + 2)), single, 1))
-    places = places.unionByName(_brief(asked.where(size <= 2), held, single)).distinct()
-
-    found = places.join(asked.withColumnRenamed("ws", "qs"), "qid").join(told, "id").withColumn("ws", words(F.col("text")))
+    found = _places(held, asked).join(asked.withColumnRenamed("ws", "qs"), "qid").join(told, "id").withColumn("ws", words(F.col("text")))
     n, at = F.size("qs"), F.col("at")
     here = F.transform(F.slice("ws", at + 1, n), F.lower)
     first, last = F.element_at("qs", 1), F.element_at("qs", -1)
