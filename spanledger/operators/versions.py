@@ -62,6 +62,21 @@ def _plain(x: Column) -> Column:
     return F.regexp_replace(F.format_number(F.abs(x), 2), r"\.?0+$", "")
 
 
+def one_decimal(x: Column) -> Column:
+    """A number with its sign and one decimal, rounded from its exact binary value (ties to even), as C and Python do.
+
+    Java rounds the shortest decimal form half up: 56.25 gives 56.3 there.
+    """
+    whole = F.floor(F.abs(x))
+    # the part behind the point in units of 2^-58, exact from 1/64 on; ten times as much stays within 63 bits
+    ten = F.floor((F.abs(x) - whole) * float(1 << 58)) * 10
+    digit, rest, half = F.shiftright(ten, 58), ten.bitwiseAND(F.lit((1 << 58) - 1)), F.lit(1 << 57)
+    up = (rest > half) | ((rest == half) & (digit % 2 == 1))
+    tenths = whole * 10 + digit + up.cast("long")
+    sign = F.when(x < 0, "-").otherwise("+")
+    return F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def described(kind: Column, a_num: Column, b_num: Column, a_dt: Column, b_dt: Column, unit: Column) -> Column:
     """(direction, delta, text) of a change from ``a`` to ``b``."""
     day = lambda d: F.to_date(date_key(d))
@@ -72,7 +87,7 @@ def described(kind: Column, a_num: Column, b_num: Column, a_dt: Column, b_dt: Co
         sign = F.when(unit == code, s).otherwise(sign)
     many = lambda word: F.concat(F.lit(" "), word, F.when(F.abs(delta) != 1, "s").otherwise(""))
     size = F.when(kind == "money", F.concat(sign, _plain(delta), F.when(sign == "", F.concat(F.lit(" "), unit)).otherwise(""))).when(kind == "percent", F.concat(_plain(delta), F.lit(" percentage points"))).when(kind == "duration", F.concat(_plain(delta), many(unit))).otherwise(_plain(delta))
-    share = F.when((kind != "percent") & (a_num != 0), F.concat(F.lit(" ("), F.format_string("%+.1f", delta / a_num * 100), F.lit("%)"))).otherwise("")
+    share = F.when((kind != "percent") & (a_num != 0), F.concat(F.lit(" ("), one_decimal(delta / a_num * 100), F.lit("%)"))).otherwise("")
     text = F.when(kind == "date", F.concat(F.lit("moved "), _plain(delta), many(F.lit("day")), F.lit(" "), direction)).otherwise(F.concat(direction, F.lit(" by "), size, share))
     return F.struct(direction.alias("direction"), delta.alias("delta"), F.when(delta == 0, "unchanged").otherwise(text).alias("text"))
 

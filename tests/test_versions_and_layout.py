@@ -85,3 +85,10 @@ def test_neighbourhood_is_breadth_first(spark):
         at |= {y: hop for y in last}
     got = graph.neighbourhood(spark.createDataFrame(edges, "a int, b int"), spark.createDataFrame([(s,) for s in seeds], "id int"), 3)
     assert {r["id"]: r["hops"] for r in got.collect()} == at
+
+
+def test_shares_round_from_the_binary_value(spark):
+    rnd = random.Random(3)
+    xs = [900 / v * 100 for v in (1600, 2880, 4800, 8000, 1000, 1440)] + [12.35, 0.05, -0.05, 0.25, -0.75, 99.95, 0.0] + [rnd.uniform(-1e5, 1e5) for _ in range(200)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(versions.one_decimal(F.col("x"))).collect()
+    assert [r[0] for r in got] == [f"{x:+.1f}" for x in xs]
