@@ -32,6 +32,9 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates (five words, similarity 0.8) the document with the smallest id stays.
 
+    Candidates come from SimHash fingerprints by the generalised pigeonhole, as in op8, and from bands of MinHashes for
+    pairs that differ in more bits; the exact similarity of the whole texts decides.
+
     A document is an id with its text: of the texts that share an id, the one with the smallest hash goes by the id and
     the others come after all ids, so each is judged by its own text. Rows equal in id and text are one document, of which
     the row with the smallest hash of all columns stays. Rows with a null id stay. Null texts and texts without words are

@@ -291,8 +291,9 @@ def near_copies(docs: DataFrame, scratch: Scratch, id_col="doc_id", text_col="te
     """``id`` and ``component`` (smallest id reachable over links) of every row; texts link from ``similarity`` on.
 
     Similarity is the Jaccard similarity of the sets of word shingle hashes. Texts of equal sets are one node. Candidates
-    agree in a band of MinHashes, which holds for texts of few shingles too, and in enough of all lanes; only texts that
-    candidates connect go on. Their whole sets are compared with each other, in blocks, and the sets alone decide.
+    are the texts whose SimHash fingerprints the generalised pigeonhole finds within DISTANCE bits of each other, as in
+    ``near_duplicates``; for pairs beyond that distance, also those that agree in a band of MinHashes, which holds for
+    texts of few shingles too, and in enough of all lanes. Only texts that candidates connect go on. Their whole sets are compared with each other, in blocks, and the sets alone decide.
     Edge cases as for ``near_duplicates``: texts without words are one node.
     """
     bands, width = copy_bands(docs.count(), similarity, recall)
@@ -304,9 +305,10 @@ def near_copies(docs: DataFrame, scratch: Scratch, id_col="doc_id", text_col="te
         for b in batches:
             for s in range(0, b.num_rows, 1024):
                 p = b.slice(s, 1024)
-                digests, mins = [], []
+                digests, mins, fps = [], [], []
                 for t in p.column(1):
                     h = _hashes(t.as_py(), shingle)
+                    fps.append(fingerprint(t.as_py()))
                     low = minima(h, lanes)
                     key = salt.copy()
                     for k in range(width):
@@ -314,11 +316,14 @@ def near_copies(docs: DataFrame, scratch: Scratch, id_col="doc_id", text_col="te
                         key ^= key >> np.uint64(32)
                     digests.append(set_digest(h))
                     mins.append(key.tobytes() + (low >> np.uint64(20)).astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(digests, pa.binary()), pa.array(mins, pa.binary())], names=["id", "digest", "mins"])
+                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(digests, pa.binary()), pa.array(mins, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "digest", "mins", "fp"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sigs = scratch.write(texts.mapInArrow(released(sign), "id long, digest binary, mins binary"), "sigs")
-    nodes = scratch.write(sigs.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.first("mins").alias("mins")), "nodes")
+    sigs = scratch.write(texts.mapInArrow(released(sign), "id long, digest binary, mins binary, fp long"), "sigs")
+    nodes = scratch.write(sigs.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.first("mins").alias("mins"), F.min_by("fp", "id").alias("fp")), "nodes")
+    hubs = scratch.write(nodes.where("id is not null").groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("rows")), "fp-nodes")
+    named = attach(nodes.where("id is not null").select("id", "fp"), "fp", hubs.withColumnRenamed("id", "hub"), "hub", nodes.count(), "rows")
+    alike = linked(hubs.select("id", "fp"), scratch).unionByName(named.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
     known = nodes.where("id is not null").select("id", "mins")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +344,7 @@ def near_copies(docs: DataFrame, scratch: Scratch, id_col="doc_id", text_col="te
 
     entries = known.mapInArrow(_copy_entries(bands, width), "key long, id long, sig binary")
     loose = scratch.write(work_units(entries, block, scratch, known.count() * bands).mapInArrow(released(candidates), LINK_SCHEMA).select("a", "b"), "copy-candidates")
-    members = connected_components(loose, scratch, "candidates").select(F.col("id").alias("__id"), F.col("component").alias("key"))
+    members = connected_components(loose.unionByName(alike), scratch, "candidates").select(F.col("id").alias("__id"), F.col("component").alias("key"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -259,3 +259,15 @@ def test_spans_without_their_sources_words_stay():
 ])
 def test_empty_tables_give_no_rows(spark, run):
     assert run(Scratch(spark, "t-e"), spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_copies_take_candidates_from_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "copy_least", lambda lanes, similarity=0.8: lanes + 1)  # no candidates from MinHash lanes
+    body = " ".join(f"w{k}" for k in range(400))
+    words = body.split()
+    near = next(t for k in range(400) for t in [" ".join([*words[:k], "x", *words[k + 1 :]])] if 0 < (simhash.fingerprint(t) ^ simhash.fingerprint(body)).bit_count() <= 3)
+    line = " ".join(["the same line again"] * 300)
+    rows = [(1, body), (2, near), (3, line + " " + " ".join(f"a{k}" for k in range(20))), (4, line + " " + " ".join(f"b{k}" for k in range(20))), (5, "another text of some words")]
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"))
+    # 3 and 4 have near fingerprints, but the exact similarity of their sets is low
+    assert {r["id"]: r["component"] for r in got.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
