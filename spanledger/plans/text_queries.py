@@ -22,7 +22,7 @@ def stem_vocabulary(spark, d):
 
 def term_df_idf(spark, d):
     docs = table(spark, d, "documents")
-    _, df = R.statistics(R.index(docs, "doc_id", "text"))
+    df = R.document_frequencies(docs, "text")
     n = docs.agg(F.count("*").alias("n"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(R.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
@@ -43,8 +43,8 @@ def dense_topk(spark, d):
 def rrf_fusion(spark, d):
     docs, b = table(spark, d, "documents"), table(spark, d, "benchmark")
     args = (docs, "doc_id", "text", b, "item_id", "text")
-    postings = R.index(docs, "doc_id", "text")
-    lexical = R.bm25(*args, k=R.DEPTH, postings=postings)
+    postings, totals = R.asked_index(docs, "doc_id", "text", R.query_terms(b, "item_id", "text"))
+    lexical = R.bm25(*args, k=R.DEPTH, postings=postings, totals=totals)
     cov = R.top(R.coverage(*args, postings=postings).withColumnRenamed("coverage", "score"), R.DEPTH)
     return R.fuse([(lexical, 1.0), (cov, 0.6)])
 
