@@ -77,10 +77,10 @@ def board_neighbours(spark, d):
 def evidence_cover(spark, d):
     """The two documents that cover most of a benchmark question's terms together."""
     docs, b = table(spark, d, "documents"), table(spark, d, "benchmark")
-    postings = R.index(docs, "doc_id", "text")
-    known = R.known_terms(postings, R.count_of(docs), R.query_terms(b, "item_id", "text"))
-    hits = postings.select("id", "term").join(known.select("qid", "term", F.col("idf").alias("w")), "term")
-    return answers.cover(hits, 2)
+    terms = R.query_terms(b, "item_id", "text")
+    postings, _ = R.asked_index(docs, "doc_id", "text", terms)
+    known = R.known_terms(postings, R.count_of(docs), terms)
+    return answers.cover_terms(postings, known.select("qid", "term", F.col("idf").alias("w")), 2)
 
 
 def quote_spans(spark, d):
