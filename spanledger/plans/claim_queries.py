@@ -85,13 +85,14 @@ def conflict_components(spark, d):
 def evidence_greedy(spark, d):
     """Documents as evidence for the benchmark questions: best coverage, anchored, one of equal texts, two of a source."""
     docs, b = table(spark, d, "documents"), table(spark, d, "benchmark")
-    postings = R.index(docs, "doc_id", "text")
-    cov = R.coverage(docs, "doc_id", "text", b, "item_id", "text", postings=postings)
-    known = R.known_terms(postings, R.count_of(docs), R.query_terms(b, "item_id", "text"))
-    hit = R.anchored(postings, known).select("qid", "id", F.lit(True).alias("anchored"))
+    terms = R.query_terms(b, "item_id", "text")
+    postings, _ = R.asked_index(docs, "doc_id", "text", terms)
+    known = graph.cut(R.known_terms(postings, R.count_of(docs), terms))
+    known = graph.cut(known.join(R.anchors(known).withColumn("anchor", F.lit(True)), ["qid", "term"], "left").withColumn("anchor", F.coalesce("anchor", F.lit(False))))
+    # rows that the choice below drops for their score or want of an anchor never meet the texts
+    cov = graph.cut(answers.near_best(R.covered(postings, known, F.max("anchor").alias("anchored")).withColumnRenamed("coverage", "score")))
     norm = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("doc"), F.md5(F.lower(T.normalize_ws(F.col("text"))).cast("binary")).alias("norm"))
-    c = cov.join(hit, ["qid", "id"], "left").join(norm, "id")
-    c = c.select("qid", "doc", F.col("id").alias("sentence_id"), "norm", F.col("coverage").alias("score"), F.coalesce("anchored", F.lit(False)).alias("anchored"))
+    c = cov.join(norm, "id").select("qid", "doc", F.col("id").alias("sentence_id"), "norm", "score", "anchored")
     return answers.select_evidence(c).select("qid", "doc", "sentence_id", "score", "place")
 
 
