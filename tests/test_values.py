@@ -51,3 +51,22 @@ def test_stems_agree_with_native(spark):
     words = "terminated termination terminate policies boxes classes running national stopped agreements usually uses ties abs 2200 a1s fully press bus analysis operational quickly hopping".split()
     got = spark.createDataFrame([(w,) for w in words], "w string").select(T.stem(F.col("w")).alias("s")).collect()
     assert [r["s"] for r in got] == [V.stem(w) for w in words]
+
+
+def test_long_line_of_sentences_is_read_in_linear_time():
+    import time
+
+    text = "The limit is 5 days. " * 30_000
+    start = time.monotonic()
+    assert sum(1 for _ in V.sentences(text)) == 30_000
+    assert time.monotonic() - start < 10
+
+
+def test_a_sentence_is_read_once(monkeypatch):
+    made = []
+    plain = V.Line.__init__
+    monkeypatch.setattr(V.Line, "__init__", lambda self, text: (made.append(text), plain(self, text))[1])
+    s = "Every worker named Alice gets twenty days and $5 by March 2031."
+    vs = V.add_context(s, V.values(s))
+    V.qualifiers(s, vs)
+    assert len(made) == 1 and [v.kind for v in vs] == ["duration", "money", "date"]
