@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spanledger.operators import passages
@@ -12,15 +12,21 @@ from spanledger.session import table
 from spanledger.sources import formats
 
 
+#: Pages whose texts a worker holds at once.
+PAGES = 128
+
+
 def html_extract(spark, d):
     """Text and title of every page."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            got = [formats.markup(h or "") for h in f.html]
-            yield pd.DataFrame({"page_id": f.page_id, "title": [t for _, t in got], "text": [x for x, _ in got]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAGES):
+                b = whole.slice(at, PAGES)
+                got = [formats.markup(h.as_py() or "") for h in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for _, t in got], pa.string()), pa.array([x for x, _ in got], pa.string())], names=["page_id", "title", "text"])
 
-    return table(spark, d, "pages").select("page_id", "html").mapInPandas(run, "page_id long, title string, text string")
+    return table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, "page_id long, title string, text string")
 
 
 def chunk_documents(spark, d):
