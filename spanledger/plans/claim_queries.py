@@ -152,9 +152,12 @@ def casefile_stats(spark, d):
 
 
 def rendered_documents(spark, d):
-    """Three dated documents for each supplier that state its account's credit limit; for every third one the amendment differs."""
+    """Three dated documents for each supplier that state its account's credit limit; for every third one the amendment differs.
+
+    The table is small and its documents are much work, so suppliers are dealt over tasks by a fixed number, which Spark does not reduce.
+    """
     v = (1000 + F.abs(F.col("s_acctbal")).cast("int")).alias("v")
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), v)
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), v).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
     limit = lambda v: F.concat(F.lit("credit limit of account Acme"), F.translate(F.lpad(F.col("k").cast("string"), 7, "0"), "0123456789", "abcdefghij"), F.lit(" is $"), F.format_number(v, 0))
     changed = F.col("v") + F.when(F.col("k") % 3 == 0, 900).otherwise(0)
     kinds = F.array(
