@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanledger.functions.text import date_key
+from spanledger.operators import graph
 
 
 def positions(sources: DataFrame) -> DataFrame:
@@ -140,15 +141,44 @@ def supersession_pairs(sources: DataFrame, pos: DataFrame) -> DataFrame:
     return p.groupBy("older", "newer").agg(F.count_distinct("topic").alias("n_topics")).withColumn("severity", F.when(F.col("n_topics") >= 3, "high").otherwise("medium"))
 
 
-def board_edges(sources: DataFrame, pos: DataFrame) -> DataFrame:
-    """Edges of the case board: source states position, positions of a topic conflict (each with the next), with weights."""
-    d = disputed(pos)
-    states = sources.join(d.select("topic", "value"), ["topic", "value"]).groupBy(F.col("source").cast("string").alias("a"), F.concat_ws("=", F.col("topic").cast("string"), "value").alias("b")).agg(F.count("*").alias("weight")).withColumn("kind", F.lit("states"))
-    w = Window.partitionBy("topic").orderBy("place")
-    chain = d.withColumn("nxt", F.lead("value").over(w)).where("nxt is not null")
-    node = lambda v: F.concat_ws("=", F.col("topic").cast("string"), F.col(v))
-    conflicts = chain.select(node("value").alias("a"), node("nxt").alias("b"), F.lit(1).cast("long").alias("weight"), F.lit("conflicts").alias("kind"))
-    return states.select("a", "b", "weight", "kind").unionByName(conflicts)
+#: Statements that one task sorts at most when a board is drawn, a topic being kept together.
+TASK_ROWS = 2_000_000
+
+
+def board_edges(sources: DataFrame) -> DataFrame:
+    """Edges of the case board: source states position, positions of a topic conflict (each with the next), with weights.
+
+    One shuffle deals the statements by topic, over more tasks for larger inputs. A topic's statements are sorted by
+    position (oldest first) and source; the last statement of a position sees the next position behind it.
+    """
+    tasks = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sources.count() // TASK_ROWS))
+    k = date_key(F.col("day"))
+    s = sources.select("topic", "value", "source", F.when(k != "", k).alias("key")).repartition(tasks, "topic")
+    s = s.withColumn("oldest", F.coalesce(F.min("key").over(Window.partitionBy("topic", "value")), F.lit("9999"))).drop("key")
+    w = Window.partitionBy("topic")
+    several = (F.min("value").over(w) != F.max("value").over(w)) | ((F.count("value").over(w) > 0) & (F.count("value").over(w) < F.count("*").over(w)))
+    s = s.withColumn("several", several).where("several").drop("several").withColumn("no_value", F.col("value").isNull())
+    order = ["oldest", "no_value", "value", "source"]
+    s = s.withColumn("weight", F.count("*").over(Window.partitionBy("topic", *order))).withColumn("after", F.lead(F.struct("value", "source")).over(w.orderBy(*order)))
+    # equal statements stand together: their last one speaks for all
+    s = s.where("after is null or not (after.value <=> value and after.source <=> source)")
+    node = lambda v: F.concat(F.col("topic").cast("string"), F.lit("="), F.col(v))
+    states = F.when(F.col("topic").isNotNull() & ~F.col("no_value"), F.struct(F.col("source").cast("string").alias("a"), node("value").alias("b"), F.col("weight"), F.lit("states").alias("kind")))
+    conflict = F.when(F.col("after.value").isNotNull() & ~F.col("after.value").eqNullSafe(F.col("value")), F.struct(node("value").alias("a"), node("after.value").alias("b"), F.lit(1).cast("long").alias("weight"), F.lit("conflicts").alias("kind")))
+    return s.select(F.inline(F.array_compact(F.array(states, conflict))))
+
+
+def board_around(sources: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """The statements on all topics whose edges a walk of ``hops`` steps from documents (``seeds``: source) can meet.
+
+    A walk leaves a topic only through a document, so two steps add the topics of the documents reached at most.
+    """
+    near, ids = sources.where("false"), seeds
+    for _ in range((hops + 1) // 2):
+        topics = sources.join(ids, "source", "left_semi").select("topic").distinct()
+        near = graph.cut(sources.join(topics, "topic", "left_semi"))
+        ids = near.select("source").distinct()
+    return near
 
 
 def compare(sources: DataFrame, left: str, right: str, side: str = "side") -> DataFrame:

@@ -52,8 +52,7 @@ def supersession_pairs(spark, d):
 
 
 def board_edges(spark, d):
-    s = sources(spark, d)
-    return P.board_edges(s, P.positions(s))
+    return P.board_edges(sources(spark, d))
 
 
 def compare_suppliers(spark, d):
