@@ -117,9 +117,10 @@ def components(edges: DataFrame, max_rounds: int = 40, max_steps: int = 64) -> D
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """``id``, ``hops`` of the nodes within ``hops`` steps of ``seeds`` (``id``) along ``a``, ``b`` in either direction.
 
-    Each step joins the nodes reached last with the edges, so it costs what it reaches; seeds that have no edge stay.
+    The edges are written once; each step joins the nodes reached last with them. Seeds that have no edge stay.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct()
+    e = cut(edges.select("a", "b").where("a is not null and b is not null"))
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     last = cut(seeds.select("id", F.lit(0).alias("hops")).where("id is not null").distinct())
     reached = last
     for k in range(1, hops + 1):

@@ -68,10 +68,10 @@ def version_changes(spark, d):
 def board_neighbours(spark, d):
     """Nodes of the case board within two steps of the orders of the first day."""
     s = sources(spark, d)
-    edges = P.board_edges(s)
     first = s.agg(F.min("day").alias("first"))
-    seeds = s.join(F.broadcast(first), F.col("day") == F.col("first")).select(F.col("source").cast("string").alias("id")).distinct()
-    return graph.neighbourhood(edges, seeds, 2).select("id", "hops")
+    seeds = graph.cut(s.join(F.broadcast(first), F.col("day") == F.col("first")).select("source").distinct())
+    edges = P.board_edges(P.board_around(s, seeds, 2))
+    return graph.neighbourhood(edges, seeds.select(F.col("source").cast("string").alias("id")), 2).select("id", "hops")
 
 
 def evidence_cover(spark, d):

@@ -61,3 +61,16 @@ def test_walks_meet_all_edges_around_their_seeds(spark):
         assert sorted(map(tuple, every)) == sorted(map(tuple, some)) and len(some) > 3
         if hops <= 2:
             assert near.count() < s.count() / 2
+
+
+def test_steps_of_a_walk_share_the_edges(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(None, 3)], "a int, b int")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    got = graph.neighbourhood(edges.mapInPandas(count, edges.schema), spark.createDataFrame([(10,)], "id int"), 3)
+    assert sorted(r["id"] for r in got.collect()) == list(range(7, 14)) and seen.value == 31
